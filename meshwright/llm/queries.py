@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm import chat, interleave, token_store
-from meshwright.llm.common import table
+from meshwright.llm import chat, decontam, interleave, langid, pieces, pii, token_store
+from meshwright.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,32 @@ def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_all, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@register("op5_piece_viterbi")
+def op5_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, their digest, and whether they decode to the text."""
+    return pieces.encode_table(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op6_language_centroids")
+def op6_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text; fitted on the training fold only."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit_on_training_fold(docs))
+    return out.select("doc_id", (fold_of() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register("op9_wu_manber")
+def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a benchmark window, and which items occur."""
+    out = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op10_char_bilstm_crf")
+def op10_char_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: exact base spans and those the tagger adds."""
+    return pii.find(table(spark, sf_dir, "documents"))
