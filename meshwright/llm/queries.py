@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm import chat, decontam, interleave, langid, pieces, pii, token_store
+from meshwright.llm import chat, decontam, interleave, langid, minhash, pieces, pii, token_store
 from meshwright.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_char_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: exact base spans and those the tagger adds."""
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@register("op7_bayes_minhash")
+def op7_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=85)
