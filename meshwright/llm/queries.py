@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm import chat, decontam, interleave, langid, minhash, pieces, pii, token_store
+from meshwright.llm import chat, decontam, hpylm, interleave, langid, minhash, pieces, pii, token_store
 from meshwright.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op10_char_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=85)
+
+
+@register("op8_pitman_yor")
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every whole text, learnt from the training fold, beside the base score."""
+    return hpylm.score(table(spark, sf_dir, "documents"))
