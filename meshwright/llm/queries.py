@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm import chat, decontam, hpylm, interleave, langid, minhash, pieces, pii, token_store
-from meshwright.llm.common import fold_of, table
+from meshwright.llm import chat, chroma, decontam, hpylm, interleave, langid, minhash, pieces, pii, token_store
+from meshwright.llm.common import fold_of, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,16 @@ def op7_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every whole text, learnt from the training fold, beside the base score."""
     return hpylm.score(table(spark, sf_dir, "documents"))
+
+
+@register("op2_chroma_prints")
+def op2_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all recordings (embeddings played as notes), and what the queries align with.
+
+    One row a recording and match; rows without a match have nulls. Queries are the rows whose
+    vec_id is divisible by 100, searched against all rows.
+    """
+    media = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("samples"))
+    prints = materialize(chroma.fingerprint_table(media, render=True), "prints")
+    found = chroma.search(prints, prints.where("id % 100 = 0"))
+    return chroma.classes(prints).join(found, "id", "left").withColumnRenamed("id", "vec_id")
