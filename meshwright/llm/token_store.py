@@ -19,6 +19,8 @@ most unreferenced files.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -37,6 +39,19 @@ from meshwright.llm.common import materialize, open_fs, shared_folder, small_arr
 SEEK_MAGIC, INDEX_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 FRAME_BYTES = 1 << 18
 NULL_ID = -(1 << 63)
+#: A run of Latin letters, then ASCII signs but no apostrophe: the vocabulary's pre-tokenizer parts just these two.
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free one from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
+ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class FrameWriter:
@@ -140,6 +155,7 @@ class WordEncoder:
     SEP = "\x01"
 
     def __init__(self, path: str, limit: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's pool would spin on others
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -153,14 +169,32 @@ class WordEncoder:
     def _raw(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
 
+    def _stem(self, low: str) -> bytes:
+        """Ids of one lower-case run of Latin letters, straight from the library's model."""
+        got = self.known.get(low)
+        if got is None:
+            seen = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS)
+            got = self.known[low] = np.array([t.id for t in self.tok.model.tokenize(seen)], self.dtype).tobytes()
+        return got
+
     def _learn(self, words: list[str]) -> None:
+        left = []
+        for w in words:
+            simple = SIMPLE.fullmatch(w)
+            if simple is None:
+                left.append(w)
+                continue
+            stem, signs = simple.groups()
+            if signs and signs not in self.known:
+                self.known[signs] = self._raw(signs).tobytes()
+            self.known[w] = self._stem(stem.lower()) + (self.known[signs] if signs else b"")
+        words = left
         plain = [w for w in words if self.sep is not None and self.SEP not in w]
         for w in set(words) - set(plain):
             self.known[w] = self._raw(w).tobytes()
-        groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
         joint = f" {self.SEP} "
-        for group, enc in zip(groups, self.tok.encode_batch_fast([joint.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(enc.ids, self.dtype)
+        for group in (plain[i : i + 400] for i in range(0, len(plain), 400)):
+            ids = np.array(self.tok.encode_batch_fast([joint.join(group)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(ids == self.sep)
             if len(cuts) != len(group) - 1:
                 for w in group:
@@ -172,10 +206,12 @@ class WordEncoder:
                 self.known[w] = raw[(a + 1) * size : b * size]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        fresh = set().union(*words) - self.known.keys() if words else set()
+        # str.split also parts at U+001C..U+001F, which the vocabulary does not take for white space
+        words = [(t.split() if not ODD_SPACE.search(t) else t.replace("\n", " ").split(" ")) if t else [] for t in texts]
+        here = set().union(*words) if words else set()
+        if len(self.known) > self.limit:  # words of this batch stay, and with them the frequent ones
+            self.known = {w: self.known[w] for w in here | {""} if w in self.known}
+        fresh = here - self.known.keys()
         if fresh:
             self._learn(sorted(fresh))
         known = self.known
@@ -188,7 +224,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, fra
     Returns the manifest: part, path, n_docs, n_tokens, first_id; parts ascend with doc_id.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    small_arrow_batches(spark, 500)
     folder = shared_folder(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
