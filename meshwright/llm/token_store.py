@@ -19,11 +19,13 @@ most unreferenced files.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -144,78 +146,72 @@ class FrameReader:
             yield int(doc), self.at(i)
 
 
-class WordEncoder:
-    """The tokenizers library behind a table of known words.
+class WordEncoder(dict):
+    """word -> its ids as bytes; a word is encoded by the tokenizers library when first met.
 
     The vocabulary's pre-tokenizer drops white space and no token spans it, so ids of a text
-    are the ids of its space-separated words in order. Unknown words of a batch go to the
-    library together, parted by a separator that has a token of its own.
+    are the ids of its space-separated words in order. Runs of Latin letters go straight to
+    the library's model, anything else through its whole pipeline. Two generations of words
+    are held: when the young one is full it becomes the old one, from which words return.
     """
 
-    SEP = "\x01"
-
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's pool would spin on others
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.limit = limit
-        vocab = self.tok.get_vocab_size()
-        self.dtype = np.dtype("<u2" if vocab <= 65536 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
-        sep = self._raw(self.SEP)
-        self.sep = int(sep[0]) if len(sep) == 1 else None
-
-    def _raw(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _stem(self, low: str) -> bytes:
-        """Ids of one lower-case run of Latin letters, straight from the library's model."""
-        got = self.known.get(low)
-        if got is None:
-            seen = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS)
-            got = self.known[low] = np.array([t.id for t in self.tok.model.tokenize(seen)], self.dtype).tobytes()
-        return got
-
-    def _learn(self, words: list[str]) -> None:
-        left = []
-        for w in words:
-            simple = SIMPLE.fullmatch(w)
+        self.model = self.tok.model
+        self.limit, self.old = limit, {}
+        self.texts: dict[str, bytes] = {}  # the last whole texts, for copies
+        self.code = "H" if self.tok.get_vocab_size() <= 65536 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def stem(self, low: str) -> bytes:
+        """Ids of one lower-case run of Latin letters."""
+        seen = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            simple = SIMPLE.fullmatch(word)
             if simple is None:
-                left.append(w)
-                continue
-            stem, signs = simple.groups()
-            if signs and signs not in self.known:
-                self.known[signs] = self._raw(signs).tobytes()
-            self.known[w] = self._stem(stem.lower()) + (self.known[signs] if signs else b"")
-        words = left
-        plain = [w for w in words if self.sep is not None and self.SEP not in w]
-        for w in set(words) - set(plain):
-            self.known[w] = self._raw(w).tobytes()
-        joint = f" {self.SEP} "
-        for group in (plain[i : i + 400] for i in range(0, len(plain), 400)):
-            ids = np.array(self.tok.encode_batch_fast([joint.join(group)], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.sep)
-            if len(cuts) != len(group) - 1:
-                for w in group:
-                    self.known[w] = self._raw(w).tobytes()
-                continue
-            raw, size = ids.tobytes(), ids.itemsize
-            edges = [-1, *cuts.tolist(), len(ids)]
-            for w, a, b in zip(group, edges, edges[1:], strict=False):
-                self.known[w] = raw[(a + 1) * size : b * size]
+                found = self.whole(word)
+            else:
+                letters, signs = simple.groups()
+                low = letters.lower()
+                found = self.stem(low) if low == word else self[low]
+                if signs:
+                    found += self[signs] if signs != word else b""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        # str.split also parts at U+001C..U+001F, which the vocabulary does not take for white space
-        words = [(t.split() if not ODD_SPACE.search(t) else t.replace("\n", " ").split(" ")) if t else [] for t in texts]
-        here = set().union(*words) if words else set()
-        if len(self.known) > self.limit:  # words of this batch stay, and with them the frequent ones
-            self.known = {w: self.known[w] for w in here | {""} if w in self.known}
-        fresh = here - self.known.keys()
-        if fresh:
-            self._learn(sorted(fresh))
-        known = self.known
-        return [b"".join([known[w] for w in row]) for row in words]
+        look, out = self.__getitem__, []
+        for t in texts:
+            got = b"" if not t else self.texts.get(t)
+            if got is None:
+                # str.split also parts at U+001C..U+001F, which the vocabulary does not take for white space
+                words = t.split() if not ODD_SPACE.search(t) else filter(None, t.replace("\n", " ").split(" "))
+                got = b"".join(map(look, words))
+                if len(self.texts) >= 1000:
+                    self.texts.clear()
+                self.texts[t] = got
+            out.append(got)
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a worker process, so tasks that follow find the words of those before."""
+    return WordEncoder(path)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -235,7 +231,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, fra
         first = None
         for batch in batches:
             if writer is None:
-                encoder = WordEncoder(tokenizer_path)
+                encoder = encoder_of(tokenizer_path)
                 fs, inner = open_fs(folder)
                 fs.create_dir(inner, recursive=True)
                 path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.zst"
