@@ -5,7 +5,8 @@ text) and cut before each run of U+2581; no piece spans such a cut, so words are
 on their own. The distinct words of a batch are grouped by length and all words of a length
 advance together: at every end position the substrings of each possible length are hashed,
 looked up in the sorted hashes of the pieces, and a vectorised maximum keeps the best score
-and a backpointer. A character that no piece covers becomes its bytes.
+and a backpointer. A character that no piece covers becomes its bytes. Words are cut further
+where no piece spans a letter and a sign, so most are plain runs of letters.
 
 For a unigram model the best path has the highest sum of piece scores. A byte-pair model's
 own ids are a best path too, once a step from piece A to piece B is allowed only if merging
@@ -20,6 +21,7 @@ byte pieces never match a substring; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ from meshwright.llm.common import small_arrow_batches
 SPACE = "▁"
 LONG_WORD = 256
 #: Segmented words kept between batches.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 500_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BASE = np.uint64(0x100000001B3)
 
@@ -56,6 +58,7 @@ class PieceModel:
         for i in np.flatnonzero(self.types == BYTE):
             self.byte_ids[int(self.pieces[i][3:5], 16)] = i
         live = np.flatnonzero((self.types == NORMAL) | (self.types == USER))
+        self.cuts = self._cut_rule(live)
         self.bpe = proto.trainer_spec.model_type == 2
         if self.bpe:
             live = self._merge_trees(live)
@@ -72,6 +75,21 @@ class PieceModel:
             self.tables[n] = (h[order], ids[order].astype(np.int32), codes[order].astype(np.uint32))
         self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE, np.uint64)]), dtype=np.uint64)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _cut_rule(self, live: np.ndarray) -> re.Pattern:
+        """Borders of letters and signs that lie inside no piece: words may be cut there."""
+        inside = {p[k : k + 2] for i in live.tolist() if len(p := self.pieces[i]) > 1 for k in range(len(p) - 1)}
+        letters = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+        letter = re.compile(f"[{letters}]")
+        ends = {x[1] for x in inside if letter.match(x[0])}  # signs that some piece has after a letter
+        starts = {x[0] for x in inside if letter.match(x[1])}
+        signs = [chr(c) for c in (10, *range(33, 127)) if not chr(c).isalnum()]
+        after = "".join(re.escape(c) for c in signs if c not in ends)
+        ahead = "".join(re.escape(c) for c in signs if c not in starts)
+        alone = "".join(re.escape(c) for c in signs if not any(c in x for x in inside))
+        rules = [f"(?<=[{letters}])(?=[{after}])" if after else "", f"(?<=[{ahead}])(?=[{letters}])" if ahead else "", f"(?<=[{alone}])|(?=[{alone}])" if alone else ""]
+        return re.compile("|".join(r for r in rules if r) or "(?!)")
 
     def _merge_trees(self, live: np.ndarray) -> np.ndarray:
         """The edges of each piece's merge tree, and which live pieces merging can make."""
@@ -218,36 +236,63 @@ class PieceModel:
             total = best[:, end - 1] + np.float32(self.penalty)
             bare = (best[:, end] == -np.inf) if self.bpe else total > best[:, end]
             best[bare, end], back[bare, end], last[bare, end] = total[bare], 1, -1
-        out: list[list[np.ndarray | int]] = [[] for _ in range(k)]
-        at = np.full(k, n)
-        while (live := np.flatnonzero(at > 0)).size:
-            ids, size = last[live, at[live]], back[live, at[live]]
-            for j, i, p in zip(live.tolist(), ids.tolist(), at[live].tolist(), strict=True):
+        # walk back through all words at once, filling ids from the right
+        ids, fill, at = np.empty((k, n), "<i4"), np.full(k, n), np.full(k, n)
+        bare = np.zeros(k, bool)
+        live = np.arange(k)
+        while len(live):
+            here = at[live]
+            got = last[live, here]
+            fill[live] -= 1
+            ids[live, fill[live]] = got
+            bare[live[got < 0]] = True
+            at[live] = here - back[live, here]
+            live = live[at[live] > 0]
+        out = [row[f:].tobytes() for row, f in zip(ids, fill.tolist(), strict=True)]
+        for j in np.flatnonzero(bare).tolist():
+            place, grown = 0, []
+            for i in ids[j, fill[j] :].tolist():
                 if i >= 0:
-                    out[j].append(i)
+                    grown.append(i)
+                    place += len(self.pieces[i])
                 else:
-                    out[j] += self.byte_ids[list(words[j][p - 1].encode("utf-8", "surrogatepass"))[::-1]].tolist()
-            at[live] -= size
-        return [np.array(x[::-1], "<i4").tobytes() for x in out]
+                    grown += self.byte_ids[list(words[j][place].encode("utf-8", "surrogatepass"))].tolist()
+                    place += 1
+            out[j] = np.array(grown, "<i4").tobytes()
+        return out
 
     def learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.known]
+        known, done = self.known, self.parts
+        cut, mark = self.cuts.split, "" if not self.prefix else SPACE
+        compound = {w: list(filter(None, cut(w if SPACE in w else mark + w))) for w in words.difference(known)}
         by_length: dict[int, list[str]] = {}
-        for w in fresh:
-            by_length.setdefault(len(w), []).append(w)
+        for p in set().union(*compound.values()).difference(done):
+            by_length.setdefault(len(p), []).append(p)
         for n, group in by_length.items():
             step = max(1, 4_000_000 // max(n, 1)) if n <= LONG_WORD else 1
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                self.known.update(zip(part, self._viterbi(part), strict=True))
+                done.update(zip(part, self._viterbi(part), strict=True))
+        known.update({w: done[parts[0]] if len(parts) == 1 else b"".join([done[p] for p in parts]) for w, parts in compound.items()})
+
+    def _keys(self, text: str | None) -> list[str]:
+        """The words of a text; one without the space mark stands for itself after one."""
+        if not text:
+            return []
+        if self.prefix and not self.squeeze and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return self.words(self.normalize(text))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        rows = [self.words(self.normalize(t or "")) for t in texts]
+        single = dict.fromkeys(texts)  # copies in a batch are encoded once
+        rows = {t: self._keys(t) for t in single}
         if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        self.learn(set().union(*rows) if rows else set())
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in row]), "<i4") for row in rows]
+            self.known, self.parts = {}, {}
+        self.learn(set().union(*rows.values()) if rows else set())
+        look = self.known.__getitem__
+        for t, row in rows.items():
+            single[t] = np.frombuffer(b"".join(map(look, row)), "<i4")
+        return [single[t] for t in texts]
 
     def decode(self, ids: np.ndarray) -> str:
         out = bytearray()
