@@ -6,7 +6,8 @@
 3. Star round: in each band bucket every member is compared with the bucket's least member
    (one candidate per member). Comparison reads the signatures in batches of 32 and prunes a
    pair once the posterior probability of reaching the threshold falls below ``miss``.
-4. Survivors are confirmed on full shingle sets and linked; components are formed.
+4. Survivors are confirmed on full shingle sets and linked; components are formed. A second
+   star round compares each bucket's least member with its members of other components.
 5. Rest round: buckets that still hold several components are searched whole, block against
    block inside a task, skipping pairs of one component, with the same pruning; only
    survivors leave the task. They are confirmed, and the final components formed.
@@ -272,8 +273,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     first = materialize(confirm(prune(paired, limits), texts, n, percent), "star-links")
     joined = materialize(components(first), "star-components")
 
-    placed = entries.join(joined, "id", "left").select("bucket", "id", "least", F.coalesce("component", "id").alias("comp"))
-    placed = materialize(placed, "placed")
+    # second star round: every bucket's least member against its members of other components
+    def place(comps: DataFrame, name: str) -> DataFrame:
+        here = entries.join(comps, "id", "left").select("bucket", "id", "least", F.coalesce("component", "id").alias("comp"))
+        return materialize(here, name)
+
+    placed = place(joined, "placed")
+    cores = placed.where("id = least").select("bucket", F.col("comp").alias("core")).dropDuplicates(["bucket"])
+    again = placed.join(cores, "bucket").where("comp <> core").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    paired = (
+        again.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+        .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
+    more = confirm(prune(paired, limits), texts, n, percent)
+    first = materialize(first.unionByName(more), "star-links")
+    placed = place(materialize(components(first), "star-components"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("least"), F.col("comp"))).alias("core"))
     mixed = materialize(mixed.where("lo < hi").select("bucket", "core"), "mixed")
     inside = placed.join(mixed, "bucket").select("bucket", "id", "comp", "core")
