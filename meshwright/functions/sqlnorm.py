@@ -76,6 +76,10 @@ def normalize(raw: str | None) -> tuple[str, str, str]:
     return text, op, table
 
 
-@F.pandas_udf("statement string, op string, table string")
-def sql_normal_form(raw: pd.Series) -> pd.DataFrame:
+def _batch(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([normalize(x) for x in raw], columns=["statement", "op", "table"])
+
+
+def sql_normal_form(raw):
+    """Column struct<statement, op, table> of a column of SQL text."""
+    return F.pandas_udf(_batch, "statement string, op string, table string")(raw)

@@ -115,10 +115,11 @@ BUS_SQL = """bus AS (SELECT 'svc'||(user_id % 20) AS service, CASE WHEN user_id
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
     """flow, service, id, parent, op, start_ns, end_ns: one flow a user and day, its first event the root."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     e = t(spark, sf, "events").select(
         F.concat("user_id", F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("flow"), F.concat(F.lit("svc"), F.col("user_id") % 3).alias("service"),
-        F.col("event_id").alias("id"), F.col("event_type").alias("op"), (F.unix_micros("ts") * 1000).alias("start_ns"),
-        (F.unix_micros("ts") * 1000 + (F.col("event_id") % 7) * F.lit(3_600_000_000_000)).alias("end_ns"))
+        F.col("event_id").alias("id"), F.col("event_type").alias("op"), (micros * 1000).alias("start_ns"),
+        (micros * 1000 + (F.col("event_id") % 7) * F.lit(3_600_000_000_000)).alias("end_ns"))
     first = e.groupBy("flow").agg(F.min(F.struct("start_ns", "id"))["id"].alias("root"))
     return e.join(first, "flow").select("flow", "service", "id", F.when(F.col("id") != F.col("root"), F.col("root")).alias("parent"), "op", "start_ns", "end_ns")
 
