@@ -59,7 +59,7 @@ def normalize(raw: str | None) -> tuple[str, str, str]:
     """(statement, operation, primary table)."""
     toks = [t for t in tokenize(raw or "") if t != ";"]
     text = " ".join(toks)
-    text = re.sub(r" ?([.(),]) ?", r"\1", text).replace(",", ", ")
+    text = re.sub(r"([.(]) ", r"\1", re.sub(r" ([.(),])", r"\1", text))
     text = re.sub(r"\(\?(?:, \?)+\)", "(?)", text)
     text = re.sub(r"VALUES ?\(\?\)(?:, \(\?\))+", "VALUES(?)", text)
     op = toks[0].upper() if toks else ""
