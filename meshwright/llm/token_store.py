@@ -289,7 +289,7 @@ def fetch_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     ``wanted`` is one column doc_id; it is matched to files by their ranges of ids.
     """
     ranges = materialize(
-        manifest.select("path", "first_id", F.lead("first_id").over(Window.orderBy("part")).alias("next_id")), "ranges"
+        manifest.select("path", F.coalesce("first_id", F.lit(NULL_ID)).alias("first_id"), F.lead("first_id").over(Window.orderBy("part")).alias("next_id")), "ranges"
     )
     hits = (
         wanted.select("doc_id").distinct()
