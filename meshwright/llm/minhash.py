@@ -3,14 +3,16 @@
 1. Texts become sets of hashed word shingles; equal sets are one class, held by its least id.
 2. 128 minima per class; bands of rows chosen so that a pair at the threshold misses all of
    them with probability under 1e-6.
-3. Star round: in each band bucket every member is compared with the bucket's least member
-   (one candidate per member). Comparison reads the signatures in batches of 32 and prunes a
+3. Star round: every class is compared with the one that is the least member of most of its
+   buckets (one candidate a class). Comparison reads the signatures in batches of 32 and prunes a
    pair once the posterior probability of reaching the threshold falls below ``miss``.
 4. Survivors are confirmed on full shingle sets and linked; components are formed. A second
-   star round compares each bucket's least member with its members of other components.
+   star round does the same among least members of other components.
 5. Rest round: buckets that still hold several components are searched whole, block against
    block inside a task, skipping pairs of one component, with the same pruning; only
-   survivors leave the task. They are confirmed, and the final components formed.
+   survivors leave the task. A first pass takes one surviving partner a member, which joins
+   large groups by few links; the second takes all survivors that are left between
+   components. They are confirmed, and the final components formed.
 
 No bucket is dropped or capped and no pair of different components of a bucket goes
 unexamined; pairs inside a component cannot change the result and are skipped.
@@ -188,11 +190,13 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def rest_pairs(members: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
+def rest_pairs(members: DataFrame, limits: list[tuple[int, int]], one_each: bool = False) -> DataFrame:
     """Surviving pairs of different components of every bucket, block against block.
 
     ``members``: bucket, id, comp, core (the component of the bucket's least member), n_core,
     n_other, sig. Members of the core meet only the others; the others meet each other too.
+    With ``one_each`` a cell gives one surviving partner a member, so a large group of copies
+    is joined by a linear number of links before all that is left is searched.
     """
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / CHUNK)).cast("int")
     lot = lambda c: F.pmod(F.xxhash64("id", "bucket"), blocks(c)).cast("int")
@@ -228,6 +232,8 @@ def rest_pairs(members: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
                 apart = comp[p] != comp[q]
                 p, q = p[apart], q[apart]
                 ok = survivors(sig[p], sig[q], limits)
+                if one_each:
+                    ok = ok[np.unique(q[ok], return_index=True)[1]]
                 out_a.append(np.minimum(ids[p[ok]], ids[q[ok]]))
                 out_b.append(np.maximum(ids[p[ok]], ids[q[ok]]))
             if out_a:
@@ -266,35 +272,44 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     sigs = profiles.select("id", "sig")
     texts = docs.selectExpr("cast(doc_id AS long) AS id", "text").where("id IS NOT NULL")
 
-    star = entries.where("id > least").groupBy("id").agg(F.min("least").alias("a")).select("a", F.col("id").alias("b"))
+    def nearest(rows: DataFrame) -> DataFrame:
+        """For each id, the least member that it shares most buckets with: one candidate a member."""
+        shares = rows.groupBy("id", "least").agg(F.count("*").alias("c"))
+        return shares.groupBy("id").agg(F.max_by("least", F.struct("c", -F.col("least"))).alias("a")).select("a", F.col("id").alias("b"))
+
+    star = nearest(entries.where("id > least"))
     paired = (
         star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
     first = materialize(confirm(prune(paired, limits), texts, n, percent), "star-links")
     joined = materialize(components(first), "star-components")
 
-    # second star round: every bucket's least member against its members of other components
+    # second star round: members of a bucket whose least member has another component
     def place(comps: DataFrame, name: str) -> DataFrame:
         here = entries.join(comps, "id", "left").select("bucket", "id", "least", F.coalesce("component", "id").alias("comp"))
         return materialize(here, name)
 
     placed = place(joined, "placed")
     cores = placed.where("id = least").select("bucket", F.col("comp").alias("core")).dropDuplicates(["bucket"])
-    again = placed.join(cores, "bucket").where("comp <> core").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    again = nearest(placed.join(cores, "bucket").where("comp <> core").select("id", "least"))
     paired = (
         again.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
     more = confirm(prune(paired, limits), texts, n, percent)
     first = materialize(first.unionByName(more), "star-links")
     placed = place(materialize(components(first), "star-components"), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("least"), F.col("comp"))).alias("core"))
-    mixed = materialize(mixed.where("lo < hi").select("bucket", "core"), "mixed")
-    inside = placed.join(mixed, "bucket").select("bucket", "id", "comp", "core")
-    inside = materialize(inside, "inside")
-    sized = materialize(inside.groupBy("bucket").agg(
-        F.count_if(F.col("comp") == F.col("core")).alias("n_core"), F.count_if(F.col("comp") != F.col("core")).alias("n_other")), "sized")
-    members = inside.join(sized, "bucket").join(sigs, "id")
-    second = materialize(confirm(rest_pairs(members, limits), texts, n, percent), "rest-links")
+    def rest(placed: DataFrame, one_each: bool) -> DataFrame:
+        mixed = placed.groupBy("bucket").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("least"), F.col("comp"))).alias("core"))
+        mixed = materialize(mixed.where("lo < hi").select("bucket", "core"), "mixed")
+        inside = materialize(placed.join(mixed, "bucket").select("bucket", "id", "comp", "core"), "inside")
+        sized = materialize(inside.groupBy("bucket").agg(
+            F.count_if(F.col("comp") == F.col("core")).alias("n_core"), F.count_if(F.col("comp") != F.col("core")).alias("n_other")), "sized")
+        return confirm(rest_pairs(inside.join(sized, "bucket").join(sigs, "id"), limits, one_each), texts, n, percent)
+
+    first = materialize(first.unionByName(rest(placed, one_each=True)), "star-links")
+    placed = place(materialize(components(first), "star-components"), "placed")
+    second = materialize(rest(placed, one_each=False), "rest-links")
 
     links = first.unionByName(second)
     same = materialize(components(links if multi.isEmpty() else links.unionByName(equal)), "components")
