@@ -52,6 +52,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """df in as many partitions as so many rows need, without a shuffle; never more than it has."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path inside it; plain paths are local."""
     if uri.startswith("file:"):

@@ -6,13 +6,12 @@
 3. Star round: every class is compared with the one that is the least member of most of its
    buckets (one candidate a class). Comparison reads the signatures in batches of 32 and prunes a
    pair once the posterior probability of reaching the threshold falls below ``miss``.
-4. Survivors are confirmed on full shingle sets and linked; components are formed. A second
-   star round does the same among least members of other components.
+4. Survivors are confirmed on full shingle sets and linked; components are formed.
 5. Rest round: buckets that still hold several components are searched whole, block against
-   block inside a task, skipping pairs of one component, with the same pruning; only
-   survivors leave the task. A first pass takes one surviving partner a member, which joins
-   large groups by few links; the second takes all survivors that are left between
-   components. They are confirmed, and the final components formed.
+   block inside a task, skipping pairs of one component, with the same pruning. Survivors
+   whose bit sets already rule the threshold out (an exact bound) go; the others leave the
+   task. Where a block has many, it gives one partner a member, and a second search follows
+   that takes all survivors left between components. All are confirmed on full sets.
 
 No bucket is dropped or capped and no pair of different components of a bucket goes
 unexamined; pairs inside a component cannot change the result and are skipped.
@@ -33,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import ASCII_LOWER, WordHashes, materialize, mix64, small_arrow_batches, text_bytes
+from meshwright.llm.common import ASCII_LOWER, WordHashes, materialize, mix64, sized, small_arrow_batches, text_bytes
 from meshwright.llm.graph import components
 
 PERMS = 128
 BATCH = 32
 CHUNK = 256
+BITS = 2048
 HINT_IDS = 1_000_000
 P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,8 +115,31 @@ def survivors(x: np.ndarray, y: np.ndarray, limits: list[tuple[int, int]]) -> np
     return live
 
 
+def bit_set(s: np.ndarray) -> bytes:
+    """BITS bits, those set that the hashes of a shingle set fall on."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(s >> np.uint64(40)) % np.uint64(BITS)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def possible(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of paired bit sets (uint64 words) may reach the threshold; never wrongly no.
+
+    Each bit in which two bit sets differ needs an element that only one of the sets has, so
+    the intersection has at most (size_x + size_y - differing bits) / 2 elements.
+    """
+    out = np.empty(len(x), bool)
+    for at in range(0, len(x), 8192):
+        part = slice(at, at + 8192)
+        total = size_x[part] + size_y[part]
+        differ = np.bitwise_count(x[part] ^ y[part]).sum(1, dtype=np.int64)
+        both = np.minimum((total - differ) // 2, np.minimum(size_x[part], size_y[part]))
+        out[part] = 100 * both >= percent * (total - both)
+    return out
+
+
 def profile(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set key (k1, k2), band hashes, one-byte signature of every row."""
+    """doc_id, n_shingles, set key (k1, k2), band hashes, one-byte signature, bit set of every row."""
     small_arrow_batches(docs.sparkSession)
     a, b = permutations()
 
@@ -124,12 +147,12 @@ def profile(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         table = WordHashes()
         weights = mix64(np.arange(1, rows + 1, dtype=np.uint64) * P)
         for batch in batches:
-            size, k1, k2, band, sig = [], [], [], [], []
+            size, k1, k2, band, sig, bits = [], [], [], [], [], []
             for text in text_bytes(batch.column("text")):
                 s = text_shingles(text, n, table)
                 size.append(len(s))
                 if not len(s):
-                    k1.append(None), k2.append(None), band.append([]), sig.append(b"")
+                    k1.append(None), k2.append(None), band.append([]), sig.append(b""), bits.append(b"")
                     continue
                 k1.append(int(np.bitwise_xor.reduce(mix64(s))) - (1 << 63))
                 k2.append(int(np.add.reduce(mix64(s ^ P))) - (1 << 63))
@@ -138,12 +161,13 @@ def profile(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 h = mix64((mix64(cells * weights)).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * P)
                 band.append(h.view(np.int64).tolist())
                 sig.append((low & np.uint32(255)).astype(np.uint8).tobytes())
+                bits.append(bit_set(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig"])
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())],
+                names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig", "bits"])
 
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary")
+        run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary, bits binary")
 
 
 def prune(pairs: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
@@ -160,12 +184,14 @@ def prune(pairs: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    """The (a, b) of a written table whose full sets have 100 * intersection >= percent * union, written."""
     spark = pairs.sparkSession
-    pairs = materialize(pairs, "to-confirm")
-    ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    few = ids.count() <= HINT_IDS  # at most 8 MB of ids travel to every executor, else both sides are shuffled
-    wanted = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    count = pairs.count()
+    if not count:
+        return pairs
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    few = 2 * count <= HINT_IDS  # at most 8 MB of ids travel to every executor, else both sides are shuffled
+    wanted = texts.join(F.broadcast(sized(ids, 2 * count)) if few else ids, "id", "left_semi")
     small_arrow_batches(spark, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,43 +213,46 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
 
     one = pairs.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return materialize(two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "confirmed")
 
 
-def rest_pairs(members: DataFrame, limits: list[tuple[int, int]], one_each: bool = False) -> DataFrame:
-    """Surviving pairs of different components of every bucket, block against block.
+def rest_pairs(members: DataFrame, limits: list[tuple[int, int]], percent: int, thin: bool) -> DataFrame:
+    """(a, b, more): surviving pairs of different components of every bucket, block against block.
 
     ``members``: bucket, id, comp, core (the component of the bucket's least member), n_core,
-    n_other, sig. Members of the core meet only the others; the others meet each other too.
-    With ``one_each`` a cell gives one surviving partner a member, so a large group of copies
-    is joined by a linear number of links before all that is left is searched.
+    n_other, size, sig, bits. Members of the core meet only the others; the others meet each
+    other too. With ``thin`` a cell that has over four survivors a member gives one partner a
+    member, marked ``more``, so that a large group is joined by a linear number of links before
+    what is left is searched again.
     """
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / CHUNK)).cast("int")
     lot = lambda c: F.pmod(F.xxhash64("id", "bucket"), blocks(c)).cast("int")
     kc, ko = blocks(F.col("n_core")), blocks(F.col("n_other"))
     in_core = F.col("comp") == F.col("core")
     core = members.where(in_core).select(
-        "bucket", "id", "comp", "sig", F.lit(True).alias("left"), lot(F.col("n_core")).alias("i"),
+        "bucket", "id", "comp", "size", "sig", "bits", F.lit(True).alias("left"), lot(F.col("n_core")).alias("i"),
         F.explode(F.sequence(F.lit(0), ko - 1)).alias("j"), F.lit("c").alias("kind"))
     others = members.where(~in_core)
     against = others.select(
-        "bucket", "id", "comp", "sig", F.lit(False).alias("left"),
+        "bucket", "id", "comp", "size", "sig", "bits", F.lit(False).alias("left"),
         F.explode(F.sequence(F.lit(0), kc - 1)).alias("i"), lot(F.col("n_other")).alias("j"), F.lit("c").alias("kind"))
     mine = lot(F.col("n_other"))
     among = others.where("n_other > 1").select(
-        "bucket", "id", "comp", "sig", mine.alias("mine"), F.explode(F.sequence(F.lit(0), ko - 1)).alias("k")
-    ).select("bucket", "id", "comp", "sig", (F.col("mine") <= F.col("k")).alias("left"), F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), F.lit("o").alias("kind"))
+        "bucket", "id", "comp", "size", "sig", "bits", mine.alias("mine"), F.explode(F.sequence(F.lit(0), ko - 1)).alias("k")
+    ).select("bucket", "id", "comp", "size", "sig", "bits", (F.col("mine") <= F.col("k")).alias("left"), F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), F.lit("o").alias("kind"))
     cells = core.unionByName(against).unionByName(among).groupBy("bucket", "kind", "i", "j").agg(
-        F.collect_list(F.struct("left", "id", "comp", "sig")).alias("x"))
+        F.collect_list(F.struct("left", "id", "comp", "size", "sig", "bits")).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
+            out_a, out_b, out_more = [], [], []
             for kind, i, j, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "i", "j", "x")), strict=True):
                 ids = np.array([r["id"] for r in x])
                 comp = np.array([r["comp"] for r in x])
                 left = np.array([r["left"] for r in x])
+                size = np.array([r["size"] for r in x])
                 sig = np.frombuffer(b"".join(r["sig"] for r in x), np.uint8).reshape(-1, PERMS)
+                bits = np.frombuffer(b"".join(r["bits"] for r in x), np.uint64).reshape(-1, BITS // 64)
                 if kind == "o" and i == j:
                     p, q = np.triu_indices(len(ids), 1)
                 else:
@@ -232,14 +261,19 @@ def rest_pairs(members: DataFrame, limits: list[tuple[int, int]], one_each: bool
                 apart = comp[p] != comp[q]
                 p, q = p[apart], q[apart]
                 ok = survivors(sig[p], sig[q], limits)
-                if one_each:
+                ok = ok[possible(bits[p[ok]], bits[q[ok]], size[p[ok]], size[q[ok]], percent)]
+                more = thin and len(ok) > 4 * len(ids)
+                if more:
                     ok = ok[np.unique(q[ok], return_index=True)[1]]
+                out_more.append(np.full(len(ok), more))
                 out_a.append(np.minimum(ids[p[ok]], ids[q[ok]]))
                 out_b.append(np.maximum(ids[p[ok]], ids[q[ok]]))
             if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a).astype(np.int64)), pa.array(np.concatenate(out_b).astype(np.int64))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(out_a).astype(np.int64)), pa.array(np.concatenate(out_b).astype(np.int64)), pa.array(np.concatenate(out_more))],
+                    names=["a", "b", "more"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
@@ -249,73 +283,49 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     base = materialize(profile(docs, n, bands, rows), "profiles")
     there = base.where("doc_id IS NOT NULL AND n_shingles > 0")
 
-    # classes of equal sets; a doc_id with several sets belongs to several classes, linked below
-    classes = there.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    shared = materialize(classes.where("copies > 1").select("k1", "k2", "rep"), "classes")
-    member = there.select("doc_id", "k1", "k2").join(shared, ["k1", "k2"], "left").select(
-        "doc_id", "k1", "k2", F.coalesce("rep", "doc_id").alias("rep"))
-    member = materialize(member, "members")
-    equal = member.where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    multi = materialize(there.groupBy("doc_id").agg(F.countDistinct("k1", "k2").alias("c")).where("c > 1").select("doc_id"), "multi")
+    # classes of equal sets; a repeated doc_id may belong to several classes, linked below
+    shared = there.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    member = materialize(
+        there.select("doc_id", "k1", "k2").join(shared, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")),
+        "members")
+    again = there.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    repeated = again.agg(F.count("*")).first()[0] > 0
     reps = there.join(member.where("rep < doc_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    if multi.isEmpty():
-        profiles = reps.select(F.col("doc_id").alias("id"), "bands", "sig")
-    else:  # rare: keep every set of such ids
-        profiles = reps.unionByName(there.join(multi, "doc_id", "left_semi")).select(F.col("doc_id").alias("id"), "bands", "sig")
-    profiles = materialize(profiles.dropDuplicates(["id", "sig"]), "representatives")
-
-    entries = profiles.select("id", F.explode("bands").alias("bucket"))
-    crowded = materialize(
-        entries.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket", "least"),
-        "buckets")
-    entries = materialize(entries.join(crowded, "bucket").select("bucket", "id", "least"), "entries")
-    sigs = profiles.select("id", "sig")
-    texts = docs.selectExpr("cast(doc_id AS long) AS id", "text").where("id IS NOT NULL")
+    if repeated:  # keep every set of such ids
+        reps = reps.unionByName(there.join(again, "doc_id", "left_semi")).dropDuplicates(["doc_id", "sig"])
 
-    def nearest(rows: DataFrame) -> DataFrame:
-        """For each id, the least member that it shares most buckets with: one candidate a member."""
-        shares = rows.groupBy("id", "least").agg(F.count("*").alias("c"))
-        return shares.groupBy("id").agg(F.max_by("least", F.struct("c", -F.col("least"))).alias("a")).select("a", F.col("id").alias("b"))
+    entries = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    crowded = entries.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    entries = materialize(entries.join(crowded.select("bucket", "least"), "bucket").select("bucket", "id", "least"), "entries")
+    sigs = there.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sig", "bits")
+    texts = docs.selectExpr("cast(doc_id AS long) AS id", "text").where("id IS NOT NULL")
 
-    star = nearest(entries.where("id > least"))
+    # star round: for each id the least member that it shares most buckets with
+    shares = entries.where("id > least").repartition("id").groupBy("id", "least").agg(F.count("*").alias("c"))
+    star = shares.groupBy("id").agg(F.max_by("least", F.struct("c", -F.col("least"))).alias("a")).select("a", F.col("id").alias("b"))
     paired = (
         star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
-    first = materialize(confirm(prune(paired, limits), texts, n, percent), "star-links")
-    joined = materialize(components(first), "star-components")
+    links = confirm(materialize(prune(paired, limits), "to-confirm"), texts, n, percent)
 
-    # second star round: members of a bucket whose least member has another component
-    def place(comps: DataFrame, name: str) -> DataFrame:
-        here = entries.join(comps, "id", "left").select("bucket", "id", "least", F.coalesce("component", "id").alias("comp"))
-        return materialize(here, name)
-
-    placed = place(joined, "placed")
-    cores = placed.where("id = least").select("bucket", F.col("comp").alias("core")).dropDuplicates(["bucket"])
-    again = nearest(placed.join(cores, "bucket").where("comp <> core").select("id", "least"))
-    paired = (
-        again.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
-    more = confirm(prune(paired, limits), texts, n, percent)
-    first = materialize(first.unionByName(more), "star-links")
-    placed = place(materialize(components(first), "star-components"), "placed")
-    def rest(placed: DataFrame, one_each: bool) -> DataFrame:
+    # rest rounds: thinned where survivors are many, and only then all pairs left between components
+    for thin in (True, False):
+        placed = entries.join(components(links), "id", "left").select("bucket", "id", "least", F.coalesce("component", "id").alias("comp"))
         mixed = placed.groupBy("bucket").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("least"), F.col("comp"))).alias("core"))
-        mixed = materialize(mixed.where("lo < hi").select("bucket", "core"), "mixed")
-        inside = materialize(placed.join(mixed, "bucket").select("bucket", "id", "comp", "core"), "inside")
-        sized = materialize(inside.groupBy("bucket").agg(
-            F.count_if(F.col("comp") == F.col("core")).alias("n_core"), F.count_if(F.col("comp") != F.col("core")).alias("n_other")), "sized")
-        return confirm(rest_pairs(inside.join(sized, "bucket").join(sigs, "id"), limits, one_each), texts, n, percent)
-
-    first = materialize(first.unionByName(rest(placed, one_each=True)), "star-links")
-    placed = place(materialize(components(first), "star-components"), "placed")
-    second = materialize(rest(placed, one_each=False), "rest-links")
-
-    links = first.unionByName(second)
-    same = materialize(components(links if multi.isEmpty() else links.unionByName(equal)), "components")
-    ids = member.select("doc_id", "rep") if multi.isEmpty() else member.select("doc_id", F.col("doc_id").alias("rep"))
-    labels = ids.join(same.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    labels = materialize(labels.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "labels")
+        inside = materialize(placed.join(mixed.where("lo < hi"), "bucket").select("bucket", "id", "comp", "core"), "inside")
+        counts = inside.groupBy("bucket").agg(
+            F.count_if(F.col("comp") == F.col("core")).alias("n_core"), F.count_if(F.col("comp") != F.col("core")).alias("n_other"))
+        pairs = materialize(rest_pairs(inside.join(counts, "bucket").join(sigs, "id"), limits, percent, thin), "to-confirm")
+        links = links.unionByName(confirm(pairs.select("a", "b"), texts, n, percent))
+        if not pairs.agg(F.count_if("more")).first()[0]:
+            break
+
+    if repeated:  # all rows of an id are one vertex
+        equal = member.where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        links, member = links.unionByName(equal), member.select("doc_id", F.col("doc_id").alias("rep")).distinct()
+    labels = member.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select(
+        "doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
     comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -323,11 +333,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each group, that of the least id, all columns as they were."""
-    found = near_duplicates(docs, n, percent)
-    gone = materialize(found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
+    found = materialize(near_duplicates(docs, n, percent), "found")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
+    if not again.agg(F.count("*")).first()[0]:
         return out
     # rows that repeat an id are one document: the row with the least text stays
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[c for c in docs.columns]))
