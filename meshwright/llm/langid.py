@@ -12,8 +12,9 @@ map over all rows, whole texts, with the model (under 2 MB) sent to each task.
 
 Defined cases: a text that is null or has no letter is ``und``, score 0, rejected; ties
 between centroids go to the language that sorts first; equal texts get equal answers; with
-no training rows every text is ``und``; an empty table gives no rows; other columns pass
-through ``keep_spoken`` untouched and are ignored by ``predict``.
+no training rows every text is ``und``; fewer than 20 training rows teach no floor (all 0);
+an empty table gives no rows; other columns pass through ``keep_spoken`` untouched and are
+ignored by ``predict``.
 """
 
 from __future__ import annotations
@@ -137,13 +138,22 @@ def fit_rows(texts: list[str], langs: list[str], k: int = 3, seed: int = 5, dim:
     centroids = np.concatenate(parts).astype(np.float32)
     best = (x @ centroids.T).max(1)
     bins = length_bin(np.array([len(t) for t in texts]))
-    # half the lowest cosine of training texts as long or longer by at most one bin
+    return Model(names, idf, centroids, np.array(owner), floors_of(best, bins))
+
+
+def floors_of(best: np.ndarray, bins: np.ndarray, least: int = 20) -> np.ndarray:
+    """Half the lowest cosine of training texts as long or longer by at most one bin.
+
+    Where those are fewer than ``least``, bins on both sides join in until they are enough, so
+    a sparse bin borrows from its neighbours and never lies above its own texts.
+    """
     floors = np.zeros(15)
+    if len(best) < least:
+        return floors
     for b in range(15):
-        near = best[(bins == b) | (bins == b + 1)]
-        floors[b] = 0.5 * near.min() if len(near) >= 20 else 0.0
-    floors = np.minimum.accumulate(floors[::-1])[::-1]
-    return Model(names, idf, centroids, np.array(owner), floors)
+        near = next(n for r in range(15) if len(n := best[(bins >= b - r) & (bins <= b + 1 + r)]) >= least)
+        floors[b] = 0.5 * near.min()
+    return np.minimum.accumulate(floors[::-1])[::-1]
 
 
 def fit(train: DataFrame, per_lang: int = 400, max_langs: int = 200, k: int = 3) -> Model:

@@ -124,6 +124,20 @@ def test_language(spark, docs, none):
     assert langid.predict(docs, langid.fit(none)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_sparse_length_bins_keep_a_floor():
+    rnd = random.Random(7)
+    words = {"en": EN.split(), "de": "der und die das ist nicht mit sich auch für eine zu haben werden".split()}
+    say = lambda lang, n: " ".join(rnd.choice(words[lang]) for _ in range(n))
+    train = [(say(lang, n), lang) for lang in words for n in [3, 5, *[20] * 15, *[60] * 15, *[200] * 15, 5000]]  # few short, two of 16,384 or more
+    model = langid.fit_rows([t for t, _ in train], [lang for _, lang in train])
+    assert (model.floors > 0).all() and (np.diff(model.floors) >= 0).all()
+    junk = ["".join(rnd.choice("qxzjvkwy ") for _ in range(n)) for n in (40, 300, 2000, 20000)]
+    assert model.predict(junk)[2] == [True] * len(junk)
+    clean = [(say(lang, n), lang) for lang in words for n in (3, 5, 20, 200, 5000)]
+    got, _, rejected = model.predict([t for t, _ in clean])
+    assert got == [lang for _, lang in clean] and not any(rejected)
+
+
 def brute_components(items, percent):
     table = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets, par = {}, {}
