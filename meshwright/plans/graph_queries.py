@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions import labels as L
 from meshwright.operators import deltas, rules
-from meshwright.operators.graph import closure, shortest_paths
+from meshwright.operators.graph import GraphIndex, closure, shortest_paths
 from meshwright.plans import bindings as B
 from meshwright.plans.registry import register
 
@@ -20,6 +20,10 @@ BLIND = "spots.kind NOT IN ('ExternalBoundaryCall','Truncated')"
 PKG = "regexp_extract(fqn, '^((?:.*/)?[^./]*)', 1)"
 
 
+def _seeds(ix: GraphIndex, like: str) -> DataFrame:
+    return ix.nodes.where(F.col("fqn").like(like)).select(F.col("fqn").alias("seed"))
+
+
 @register("roots", W + G + " SELECT fqn FROM roots")
 def roots(spark: SparkSession, sf: str) -> DataFrame:
     return B.index(spark, sf).roots()
@@ -113,8 +117,17 @@ def must_not_reach(spark, sf):
 @register("must_pass_through", W + G + ", way AS (SELECT fqn FROM nodes WHERE fqn LIKE '%0' AND fqn LIKE 'shop/order.%'), ge AS (SELECT * FROM inner_e WHERE dst NOT IN (SELECT fqn FROM way)),"
           + B.cone_sql("SELECT fqn AS seed FROM nodes WHERE fqn LIKE 'shop/customer.C1%'", edges="ge") + " SELECT seed, count(*) AS n_bypassed FROM cone WHERE node LIKE 'shop/part.%' GROUP BY seed")
 def must_pass_through(spark, sf):
-    ix = B.index(spark, sf)
-    src = ix.nodes.where("fqn LIKE 'shop/customer.C1%'").select(F.col("fqn").alias("seed"))
+    return _bypassed(B.index(spark, sf), "shop/customer.C1%")
+
+
+@register("must_pass_through_all")
+def must_pass_through_all(spark, sf):
+    """Of all customers; too many seeds for the recursive SQL, so without an oracle."""
+    return _bypassed(B.index(spark, sf), "shop/customer.%")
+
+
+def _bypassed(ix: GraphIndex, like: str) -> DataFrame:
+    src = _seeds(ix, like)
     way = ix.nodes.where("fqn LIKE '%0' AND fqn LIKE 'shop/order.%'").select("fqn")
     goal = ix.nodes.where("fqn LIKE 'shop/part.%'").select("fqn")
     return rules.must_pass_through(ix, src, way, goal).groupBy("seed").agg(F.count("*").alias("n_bypassed"))
@@ -136,8 +149,17 @@ def layering(spark, sf):
 best AS (SELECT seed, node, path, row_number() OVER (PARTITION BY seed, node ORDER BY len(path), path) AS r FROM p)
 SELECT seed, node, array_to_string(path, ' > ') AS path FROM best WHERE r = 1""")
 def paths(spark, sf):
-    ix = B.index(spark, sf)
-    got = shortest_paths(ix.nodes.where("fqn LIKE 'shop/customer.C1%'").select(F.col("fqn").alias("seed")), ix.internal)
+    return _paths(B.index(spark, sf), "shop/customer.C1%")
+
+
+@register("shortest_paths_all")
+def paths_all(spark, sf):
+    """From all customers, without an oracle."""
+    return _paths(B.index(spark, sf), "shop/customer.%")
+
+
+def _paths(ix: GraphIndex, like: str) -> DataFrame:
+    got = shortest_paths(_seeds(ix, like), ix.internal)
     return got.select("seed", "node", F.array_join("path", " > ").alias("path"))
 
 
@@ -147,8 +169,17 @@ SELECT n.fqn AS suspect, (SELECT count(*) FROM back b JOIN roots r ON r.fqn = b.
  (SELECT count(*) FROM cone c JOIN spots s ON s.site = c.node WHERE c.seed = n.fqn AND s.kind = 'HighFanOut') > 0 AS over_approximate
 FROM nodes n WHERE fqn LIKE 'shop/order.O1_'""")
 def impact_card(spark, sf):
-    ix = B.index(spark, sf)
-    seeds = ix.nodes.where("fqn LIKE 'shop/order.O1_'").select(F.col("fqn").alias("seed"))
+    return _cards(B.index(spark, sf), "shop/order.O1_")
+
+
+@register("impact_card_all")
+def impact_card_all(spark, sf):
+    """Of all orders, without an oracle."""
+    return _cards(B.index(spark, sf), "shop/order.%")
+
+
+def _cards(ix: GraphIndex, like: str) -> DataFrame:
+    seeds = _seeds(ix, like)
     cone, back = ix.cone(seeds), ix.cone(seeds, ix.reversed())
     n = lambda df, agg, name: df.groupBy("seed").agg(agg.alias(name))
     at = cone.join(ix.spots.withColumnRenamed("site", "node"), "node")
