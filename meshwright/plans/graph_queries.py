@@ -64,8 +64,17 @@ def reach_backward(spark, sf):
  UNION SELECT w.seed, e.dst FROM walk w JOIN inner_e e ON e.src = w.node)
 SELECT seed, count(*) AS n_reached, max(CASE WHEN seed = node THEN 1 ELSE 0 END) AS on_cycle FROM walk GROUP BY seed""")
 def reach_cyclic(spark, sf):
-    ix = B.index(spark, sf, cyclic=True)
-    seeds = ix.nodes.where("fqn LIKE 'shop/region.%' OR fqn IN ('shop/nation.N1','shop/nation.N7')").select(F.col("fqn").alias("seed"))
+    return _cyclic(B.index(spark, sf, cyclic=True), "fqn LIKE 'shop/region.%' OR fqn IN ('shop/nation.N1','shop/nation.N7')")
+
+
+@register("reach_cyclic_all")
+def reach_cyclic_all(spark, sf):
+    """From all regions and nations, without an oracle."""
+    return _cyclic(B.index(spark, sf, cyclic=True), "fqn LIKE 'shop/region.%' OR fqn LIKE 'shop/nation.%'")
+
+
+def _cyclic(ix: GraphIndex, which: str) -> DataFrame:
+    seeds = ix.nodes.where(which).select(F.col("fqn").alias("seed"))
     return closure(seeds, ix.internal).groupBy("seed").agg(F.count("*").alias("n_reached"), F.max((F.col("seed") == F.col("node")).cast("int")).alias("on_cycle"))
 
 

@@ -89,8 +89,18 @@ SELECT flow, CASE WHEN flow NOT IN (SELECT flow FROM o) OR flow NOT IN (SELECT f
  CASE WHEN flow NOT IN (SELECT flow FROM o) OR flow NOT IN (SELECT flow FROM g) THEN NULL ELSE coalesce((SELECT string_agg(op, ',' ORDER BY op) FROM (SELECT op FROM g WHERE g.flow = f.flow EXCEPT SELECT op FROM o WHERE o.flow = f.flow)), '') END AS missing,
  CASE WHEN flow NOT IN (SELECT flow FROM o) THEN 'skipped' WHEN flow NOT IN (SELECT flow FROM g) THEN 'ungated' WHEN EXISTS (SELECT op FROM o WHERE o.flow = f.flow EXCEPT SELECT op FROM g WHERE g.flow = f.flow) THEN 'fail' ELSE 'pass' END AS verdict FROM f""")
 def effect_gate(spark, sf):
+    return _gate(spark, sf, "user_id % 10 <> 0")
+
+
+@register("effect_gate_all")
+def effect_gate_all(spark, sf):
+    """Golden effects of all users: ungated are those without early events. Without an oracle."""
+    return _gate(spark, sf, "true")
+
+
+def _gate(spark, sf, golden):
     e = B.t(spark, sf, "events").select(F.col("user_id").cast("string").alias("flow"), F.col("event_type").alias("op"), "ts", "user_id")
-    return T.effect_gate(e.where("ts < TIMESTAMP '2024-01-06' AND user_id % 10 <> 0"), e.where("ts >= TIMESTAMP '2024-01-20'"))
+    return T.effect_gate(e.where("ts < TIMESTAMP '2024-01-06'").where(golden), e.where("ts >= TIMESTAMP '2024-01-20'"))
 
 
 @register("coverage_delta", "WITH " + B.BUS_SQL + " SELECT DISTINCT event FROM bus WHERE op = 'PUBLISH' AND event <> '<dynamic>' AND event NOT IN (SELECT event FROM bus WHERE op = 'CONSUME' AND event NOT LIKE '%.1%')")
@@ -171,9 +181,19 @@ def impeach_candidates(spark, sf):
 @register("annotation_grades", """WITH a AS (SELECT DISTINCT user_id AS site, CASE WHEN user_id % 3 = 0 THEN event_type END AS claim FROM events WHERE user_id < 60), w AS (SELECT user_id AS site, event_type AS effect FROM events WHERE ts < TIMESTAMP '2024-01-04' AND user_id % 4 <> 1)
 SELECT a.site, a.claim, CASE WHEN count(w.effect) = 0 THEN 'unwitnessed' WHEN a.claim IS NULL THEN 'witnessed' WHEN bool_or(w.effect = a.claim) THEN 'confirmed' ELSE 'unconfirmed' END AS grade FROM a LEFT JOIN w USING (site) GROUP BY a.site, a.claim""")
 def annotation_grades(spark, sf):
+    return _grades(spark, sf, "user_id < 60", "user_id % 4 <> 1")
+
+
+@register("annotation_grades_all")
+def annotation_grades_all(spark, sf):
+    """Sites of all users, witnessed by all early events. Without an oracle."""
+    return _grades(spark, sf, "true", "true")
+
+
+def _grades(spark, sf, sites, witnesses):
     e = B.t(spark, sf, "events")
-    a = e.where("user_id < 60").select(F.col("user_id").alias("site"), F.when(F.col("user_id") % 3 == 0, F.col("event_type")).alias("claim")).distinct()
-    w = e.where("ts < TIMESTAMP '2024-01-04' AND user_id % 4 <> 1").select(F.col("user_id").alias("site"), F.col("event_type").alias("effect"))
+    a = e.where(sites).select(F.col("user_id").alias("site"), F.when(F.col("user_id") % 3 == 0, F.col("event_type")).alias("claim")).distinct()
+    w = e.where("ts < TIMESTAMP '2024-01-04'").where(witnesses).select(F.col("user_id").alias("site"), F.col("event_type").alias("effect"))
     g = a.join(w, "site", "left").groupBy("site", "claim").agg(F.count("effect").alias("n"), F.bool_or(F.col("effect") == F.col("claim")).alias("same"))
     return g.select("site", "claim", F.when(F.col("n") == 0, "unwitnessed").when(F.col("claim").isNull(), "witnessed").when(F.col("same"), "confirmed").otherwise("unconfirmed").alias("grade"))
 

@@ -79,3 +79,25 @@ def test_cards_of_all_orders(spark, shop):
         spots = [p for p in kinds if f"shop/part.P{p}" in down]
         want.append((seed, len(roots), len(up), len(effects), len(spots), False))
     assert rows(spark, shop, "impact_card_all") == sorted(want)
+
+
+def test_reach_from_all_nations(spark, shop):
+    edges = calls(cyclic=True)
+    down = {s: reach(s, edges) for s in [*(f"shop/region.R{r}" for r in (0, 1)), *(f"shop/nation.N{n}" for n in NATION)]}
+    assert rows(spark, shop, "reach_cyclic_all") == sorted((s, len(d), int(s in d)) for s, d in down.items() if d)
+
+
+def test_all_users_are_gated_and_graded(spark, tmp_path):
+    at = lambda day: datetime.datetime(2024, 1, day)
+    events = [(u, op, at(day)) for u, days in {3: (2, 25), 10: (3, 26), 61: (2, 22), 99: (25,), 120: (1, 2, 28), 200: (2,)}.items() for day, op in zip(days, "aba", strict=False)]
+    spark.createDataFrame(events, "user_id int, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    gate, grades = [], set()
+    for u in {e[0] for e in events}:
+        old, new = ({op for v, op, t in events if v == u and (t < at(6) if early else t >= at(20))} for early in (True, False))
+        verdict = "skipped" if not new else "ungated" if not old else "fail" if new - old else "pass"
+        gate.append((str(u), *((",".join(sorted(new - old)), ",".join(sorted(old - new))) if old and new else (None, None)), verdict))
+        seen = {op for v, op, t in events if v == u and t < at(4)}
+        for claim in {op if u % 3 == 0 else None for v, op, _ in events if v == u}:
+            grades.add((u, claim, "unwitnessed" if not seen else "witnessed" if claim is None else "confirmed" if claim in seen else "unconfirmed"))
+    assert {tuple(r) for r in registry.QUERIES["effect_gate_all"](spark, str(tmp_path)).collect()} == set(gate)
+    assert {tuple(r) for r in registry.QUERIES["annotation_grades_all"](spark, str(tmp_path)).collect()} == grades
