@@ -156,19 +156,22 @@ def floors_of(best: np.ndarray, bins: np.ndarray, least: int = 20) -> np.ndarray
     return np.minimum.accumulate(floors[::-1])[::-1]
 
 
-def fit(train: DataFrame, per_lang: int = 400, max_langs: int = 200, k: int = 3) -> Model:
-    """Fit on rows of (doc_id, text, lang) with at most per_lang rows of each language."""
+def fit(train: DataFrame, per_lang: int = 400, max_rows: int = 80_000, k: int = 3) -> Model:
+    """Fit on rows of (doc_id, text, lang) with at most per_lang rows of each language.
+
+    No language is left out: with more than max_rows / per_lang of them each gives fewer rows.
+    """
     rows = train.where("text IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select(
         "lang", "text", F.xxhash64(F.lit(3), "doc_id").alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_langs).collect()}
+    sizes = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     if not sizes:
         return fit_rows([], [])
-    # a cut of the hash that about twice per_lang rows of each language pass, then the smallest hashes
-    cut = F.lit(None)
-    for lang, n in sizes.items():
-        share = min(1.0, 2.0 * per_lang / n)
-        cut = F.when(F.col("lang") == lang, F.lit(int(share * (1 << 64)) - (1 << 63) - 1)).otherwise(cut)
-    got = rows.where(F.col("h") <= cut).toPandas().sort_values(["lang", "h", "text"]).groupby("lang").head(per_lang)
+    per_lang = max(1, min(per_lang, max_rows // len(sizes)))
+    # a cut of the hash that about twice per_lang rows of each language pass (20 more, so that
+    # none is left without), then the smallest hashes
+    cuts = [(lang, int(min(1.0, (2.0 * per_lang + 20) / n) * (1 << 64)) - (1 << 63) - 1) for lang, n in sizes]
+    cut = F.broadcast(train.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    got = rows.join(cut, "lang").where("h <= cut").drop("cut").toPandas().sort_values(["lang", "h", "text"]).groupby("lang").head(per_lang)
     return fit_rows(got["text"].tolist(), got["lang"].tolist(), k)
 
 

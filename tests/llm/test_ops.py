@@ -138,6 +138,13 @@ def test_sparse_length_bins_keep_a_floor():
     assert got == [lang for _, lang in clean] and not any(rejected)
 
 
+def test_no_language_is_left_out(spark):
+    train = [(i, f"{chr(97 + i // 26)}{chr(97 + i % 26)} " * 9, f"l{i:03}") for i in range(230)]
+    df = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    assert langid.fit(df, 30).langs == [lang for _, _, lang in train]
+    assert len(langid.fit(df, 30, max_rows=100).langs) == 230  # fewer rows each, at least one
+
+
 def brute_components(items, percent):
     table = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets, par = {}, {}
