@@ -26,10 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor sees.
 
-    Only where that setting is absent (tests, one machine) a temporary folder stands in.
+    A directory given to setCheckpointDir counts too. Only on one machine (a local master, as in
+    tests) a temporary folder stands in; on a cluster a missing setting is an error.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _made:
             _made.append(tempfile.mkdtemp(prefix="meshwright-"))
             atexit.register(_drop_own)
@@ -44,12 +48,45 @@ def _drop_own() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
+def write_read(df: DataFrame, path: str) -> DataFrame:
+    """df written to path and read back: cuts lineage, survives lost executors."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back."""
+    return write_read(df, shared_folder(df.sparkSession, name))
+
+
+class Workspace:
+    """Intermediate tables of one operator in one shared folder, removed together when it is done.
+
+    Used as a context: what the caller returns must be written elsewhere before it ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.made = spark, shared_folder(spark, name), 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        return write_read(df, f"{self.root}/{self.made:03d}-{name}")
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_exc: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{base}"
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
@@ -67,8 +104,14 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts travel to Python in batches of so many rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Whole texts travel to Python in batches of at most so many rows.
+
+    Only ever lowers the session's setting, to bound memory; no result depends on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

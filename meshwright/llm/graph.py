@@ -2,8 +2,8 @@
 
 Each round replaces links by stars around smaller labels (the alternating large-star and
 small-star steps): a vertex's neighbours are told the least label around it. Only minima are
-aggregated (combined before the shuffle); rows of a vertex meet it by a plain equi-join,
-which the engine may split when a vertex is hot. Rounds end when the links are stars: each
+aggregated (combined before the shuffle) and written; rows of a vertex meet the written
+minimum by a plain equi-join, whose partitions the engine splits when a vertex is hot. Rounds end when the links are stars: each
 vertex has one smaller neighbour or only larger ones. No links give no rows.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import materialize, sized
+from meshwright.llm.common import Workspace, sized
 
 
 def settled(stars: DataFrame, rows: int) -> bool:
@@ -23,27 +23,28 @@ def settled(stars: DataFrame, rows: int) -> bool:
     return not sides.where("up > 1 OR (up = 1 AND down = 1)").agg(F.count("*")).first()[0]
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, work: Workspace | None = None, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every vertex that has a link; links are (a, b) longs in a written table.
 
-    The partitions of a round follow the number of links: few links take few tasks.
+    Rounds are written into ``work``, where the result is read from. The partitions of a round follow the number of links: few links take few tasks.
     """
+    work = work or Workspace(links.sparkSession, "components")
     rows = links.count()
     stars = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
-    stars = materialize(sized(sized(stars, rows).distinct(), rows), "links")
+    stars = work.keep(sized(sized(stars, rows).distinct(), rows), "links")
     for _ in range(max_rounds):
         if settled(stars, rows):
             break
         # large star: every neighbour above u points at the least label around u
         both = sized(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * rows)
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "v")
+        least = work.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "v"), "least")
         large = sized(stars, rows).join(least, "v").select("u", F.col("m").alias("v")).where("u > v")
-        large = materialize(sized(large.distinct(), rows), "large")
+        large = work.keep(sized(large.distinct(), rows), "large")
         # small star: u and its smaller neighbours point at the least of them
-        low = sized(large, rows).groupBy("u").agg(F.min("v").alias("m"))
+        low = work.keep(sized(large, rows).groupBy("u").agg(F.min("v").alias("m")), "low")
         small = sized(large, rows).join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = sized(small.unionByName(low.withColumnRenamed("m", "v")), 2 * rows)
-        stars = materialize(sized(small.distinct(), 2 * rows), "stars")
+        stars = work.keep(sized(small.distinct(), 2 * rows), "stars")
     else:
         if not settled(stars, rows):
             raise RuntimeError(f"links are not stars after {max_rounds} rounds")

@@ -1,8 +1,9 @@
 """Near-duplicate documents: MinHash bands, Bayesian sequential pruning, exact checks.
 
 1. Texts become sets of hashed word shingles; equal sets are one class, held by its least id.
-2. 128 minima per class; bands of rows chosen so that a pair at the threshold misses all of
-   them with probability under 1e-6.
+2. 256 minima per class; bands of rows chosen so that a pair at the threshold misses all of
+   them with probability under 1e-5 (6 rows at 0.8, 7 at 0.85): pairs of half that similarity
+   seldom meet. Only classes that share a bucket keep their signatures from here on.
 3. Star round: every class is compared with the one that is the least member of most of its
    buckets (one candidate a class). Comparison reads the signatures in batches of 32 and prunes a
    pair once the posterior probability of reaching the threshold falls below ``miss``.
@@ -14,12 +15,15 @@
    that takes all survivors left between components. All are confirmed on full sets.
 
 No bucket is dropped or capped and no pair of different components of a bucket goes
-unexamined; pairs inside a component cannot change the result and are skipped.
+unexamined; pairs inside a component cannot change the result and are skipped. Keys that many
+rows share (copies of one text, crowded buckets, hubs) are only ever aggregated with a combine
+before the shuffle, written, and joined as written tables, whose partitions the engine splits.
+Intermediate tables are removed once the result is written.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing;
 fewer words than a shingle make one shingle of them all; rows that repeat a doc_id are one
 vertex; a null doc_id is linked with nothing, its component is null and it is kept; an empty
-table gives no rows; other columns pass through ``keep_one`` untouched.
+table gives no rows; other columns pass through ``keep_one`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import ASCII_LOWER, WordHashes, materialize, mix64, sized, small_arrow_batches, text_bytes
+from meshwright.llm.common import ASCII_LOWER, WordHashes, Workspace, fresh_name, materialize, mix64, sized, small_arrow_batches, text_bytes
 from meshwright.llm.graph import components
 
-PERMS = 128
+PERMS = 256
+SIGNATURE = 128
 BATCH = 32
-CHUNK = 256
+CHUNK = 1024
 BITS = 2048
 HINT_IDS = 1_000_000
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -59,22 +64,21 @@ def text_shingles(text: bytes | None, n: int, table: WordHashes) -> np.ndarray:
     return shingles(table.of((text or b"").translate(ASCII_LOWER).split()), n)
 
 
-def permutations(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, PERMS, dtype=np.uint64)
+def permutations(seed: int = 11) -> np.ndarray:
+    """Odd multipliers: x -> a x mod 2^32 permutes the low halves of shingle hashes."""
+    return np.random.default_rng(seed).integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least permuted hash per permutation, its top 32 bits."""
-    best = np.full(PERMS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 1024):
-        x = a[:, None] * s[None, at : at + 1024]
-        x += b[:, None]
-        np.minimum(best, x.min(1), out=best)
-    return (best >> np.uint64(32)).astype(np.uint32)
+def minima(s: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The least permuted hash per permutation."""
+    best = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    low = s.astype(np.uint32)
+    for at in range(0, len(low), 256):
+        np.minimum(best, np.minimum.reduce(low[at : at + 256, None] * a, axis=0), out=best)
+    return best
 
 
-def plan_bands(threshold: float, miss: float = 1e-6) -> tuple[int, int]:
+def plan_bands(threshold: float, miss: float = 1e-5) -> tuple[int, int]:
     """(bands, rows): the longest rows whose bands all miss a pair at the threshold too rarely."""
     for rows in range(12, 0, -1):
         bands = PERMS // rows
@@ -92,7 +96,7 @@ def keep_limits(threshold: float, miss: float) -> list[tuple[int, int]]:
     """
     t = threshold + (1 - threshold) / 256
     out = []
-    for n in range(BATCH, PERMS + 1, BATCH):
+    for n in range(BATCH, SIGNATURE + 1, BATCH):
         tail = 0.0
         for m in range(n + 2):
             tail += comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
@@ -141,7 +145,7 @@ def possible(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarra
 def profile(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, set key (k1, k2), band hashes, one-byte signature, bit set of every row."""
     small_arrow_batches(docs.sparkSession)
-    a, b = permutations()
+    a = permutations()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
@@ -156,11 +160,11 @@ def profile(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     continue
                 k1.append(int(np.bitwise_xor.reduce(mix64(s))) - (1 << 63))
                 k2.append(int(np.add.reduce(mix64(s ^ P))) - (1 << 63))
-                low = minima(s, a, b)
+                low = minima(s, a)
                 cells = low[: bands * rows].reshape(bands, rows).astype(np.uint64) + np.uint64(1)
                 h = mix64((mix64(cells * weights)).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * P)
                 band.append(h.view(np.int64).tolist())
-                sig.append((low & np.uint32(255)).astype(np.uint8).tobytes())
+                sig.append(low[:SIGNATURE].astype(np.uint8).tobytes())
                 bits.append(bit_set(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())],
@@ -177,21 +181,26 @@ def prune(pairs: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PERMS) for c in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for c in ("sig_a", "sig_b"))
             yield batch.select(["a", "b"]).take(pa.array(survivors(x, y, limits)))
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def only(rows: DataFrame, ids: DataFrame, most: int, how: str = "left_semi") -> DataFrame:
+    """The rows whose id is (or is not) among at most so many ids: these travel if few, else both sides do."""
+    return rows.join(F.broadcast(sized(ids, most)) if most <= HINT_IDS else ids, "id", how)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int, work: Workspace) -> DataFrame:
     """The (a, b) of a written table whose full sets have 100 * intersection >= percent * union, written."""
     spark = pairs.sparkSession
     count = pairs.count()
     if not count:
-        return pairs
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    few = 2 * count <= HINT_IDS  # at most 8 MB of ids travel to every executor, else both sides are shuffled
-    wanted = texts.join(F.broadcast(sized(ids, 2 * count)) if few else ids, "id", "left_semi")
+        return pairs.select("a", "b")
+    wanted = texts
+    if 2 * count <= HINT_IDS:  # beyond it the joins below shuffle the texts as they are
+        wanted = only(texts, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), 2 * count)
     small_arrow_batches(spark, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +220,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
                 keep.append(100 * both >= percent * (len(sets[0]) + len(sets[1]) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    one = pairs.select("a", "b").join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return materialize(two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "confirmed")
+    return work.keep(two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "confirmed")
 
 
 def rest_pairs(members: DataFrame, limits: list[tuple[int, int]], percent: int, thin: bool) -> DataFrame:
@@ -251,7 +260,7 @@ def rest_pairs(members: DataFrame, limits: list[tuple[int, int]], percent: int,
                 comp = np.array([r["comp"] for r in x])
                 left = np.array([r["left"] for r in x])
                 size = np.array([r["size"] for r in x])
-                sig = np.frombuffer(b"".join(r["sig"] for r in x), np.uint8).reshape(-1, PERMS)
+                sig = np.frombuffer(b"".join(r["sig"] for r in x), np.uint8).reshape(-1, SIGNATURE)
                 bits = np.frombuffer(b"".join(r["bits"] for r in x), np.uint64).reshape(-1, BITS // 64)
                 if kind == "o" and i == j:
                     p, q = np.triu_indices(len(ids), 1)
@@ -277,69 +286,82 @@ def rest_pairs(members: DataFrame, limits: list[tuple[int, int]], percent: int,
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
+    """doc_id, n_shingles, component_id, kept of every row of docs, from a written table."""
+    with Workspace(docs.sparkSession, "near") as work:
+        return materialize(_near(docs, n, percent, miss, work), "groups")
+
+
+def _near(docs: DataFrame, n: int, percent: int, miss: float, work: Workspace) -> DataFrame:
     bands, rows = plan_bands(percent / 100)
     limits = keep_limits(percent / 100, miss)
-    base = materialize(profile(docs, n, bands, rows), "profiles")
+    base = work.keep(profile(docs, n, bands, rows), "profiles")
     there = base.where("doc_id IS NOT NULL AND n_shingles > 0")
+    texts = docs.selectExpr("cast(doc_id AS long) AS id", "text").where("id IS NOT NULL")
 
     # classes of equal sets; a repeated doc_id may belong to several classes, linked below
-    shared = there.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    member = materialize(
-        there.select("doc_id", "k1", "k2").join(shared, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")),
-        "members")
-    again = there.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    repeated = again.agg(F.count("*")).first()[0] > 0
-    reps = there.join(member.where("rep < doc_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    shared = work.keep(there.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
+    copies = work.keep(there.select("doc_id", "k1", "k2").join(shared.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep < doc_id").select("doc_id", "rep"), "copies")
+    again = work.keep(there.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("id")), "repeated")
+    repeated, n_copies = again.count() > 0, copies.count()
+    rows_of = there.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "bands", "sig", "bits")
+    reps = only(rows_of, copies.select(F.col("doc_id").alias("id")).distinct(), n_copies, "left_anti")
     if repeated:  # keep every set of such ids
-        reps = reps.unionByName(there.join(again, "doc_id", "left_semi")).dropDuplicates(["doc_id", "sig"])
+        reps = reps.unionByName(rows_of.join(again, "id", "left_semi")).dropDuplicates(["id", "sig"])
 
-    entries = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    crowded = entries.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    entries = materialize(entries.join(crowded.select("bucket", "least"), "bucket").select("bucket", "id", "least"), "entries")
-    sigs = there.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sig", "bits")
-    texts = docs.selectExpr("cast(doc_id AS long) AS id", "text").where("id IS NOT NULL")
+    entries = reps.select("id", F.explode("bands").alias("bucket"))
+    crowded = work.keep(entries.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1").select("bucket", "least"), "crowded")
+    entries = work.keep(entries.join(crowded, "bucket").select("bucket", "id", "least"), "entries")
+    met = work.keep(entries.select("id").distinct(), "met")
+    sigs = work.keep(only(rows_of.drop("bands"), met, met.count()), "signatures")
 
     # star round: for each id the least member that it shares most buckets with
-    shares = entries.where("id > least").repartition("id").groupBy("id", "least").agg(F.count("*").alias("c"))
+    shares = entries.where("id > least").groupBy("id", "least").agg(F.count("*").alias("c"))
     star = shares.groupBy("id").agg(F.max_by("least", F.struct("c", -F.col("least"))).alias("a")).select("a", F.col("id").alias("b"))
     paired = (
         star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
-    links = confirm(materialize(prune(paired, limits), "to-confirm"), texts, n, percent)
+    links = confirm(work.keep(prune(paired, limits), "to-confirm"), texts, n, percent, work)
 
     # rest rounds: thinned where survivors are many, and only then all pairs left between components
     for thin in (True, False):
-        placed = entries.join(components(links), "id", "left").select("bucket", "id", "least", F.coalesce("component", "id").alias("comp"))
-        mixed = placed.groupBy("bucket").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("least"), F.col("comp"))).alias("core"))
-        inside = materialize(placed.join(mixed.where("lo < hi"), "bucket").select("bucket", "id", "comp", "core"), "inside")
-        counts = inside.groupBy("bucket").agg(
-            F.count_if(F.col("comp") == F.col("core")).alias("n_core"), F.count_if(F.col("comp") != F.col("core")).alias("n_other"))
-        pairs = materialize(rest_pairs(inside.join(counts, "bucket").join(sigs, "id"), limits, percent, thin), "to-confirm")
-        links = links.unionByName(confirm(pairs.select("a", "b"), texts, n, percent))
+        placed = work.keep(
+            entries.join(components(links, work), "id", "left").select("bucket", "id", "least", F.coalesce("component", "id").alias("comp")), "placed")
+        mixed = work.keep(
+            placed.groupBy("bucket").agg(
+                F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("least"), F.col("comp"))).alias("core")
+            ).where("lo < hi").select("bucket", "core"), "mixed")
+        inside = work.keep(placed.join(mixed, "bucket").select("bucket", "id", "comp", "core"), "inside")
+        counts = work.keep(
+            inside.groupBy("bucket").agg(
+                F.count_if(F.col("comp") == F.col("core")).alias("n_core"), F.count_if(F.col("comp") != F.col("core")).alias("n_other")), "counts")
+        pairs = work.keep(rest_pairs(inside.join(counts, "bucket").join(sigs, "id"), limits, percent, thin), "to-confirm")
+        links = links.unionByName(confirm(pairs, texts, n, percent, work))
         if not pairs.agg(F.count_if("more")).first()[0]:
             break
 
     if repeated:  # all rows of an id are one vertex
-        equal = member.where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-        links, member = links.unionByName(equal), member.select("doc_id", F.col("doc_id").alias("rep")).distinct()
-    labels = member.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("component_id"))
-    out = base.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
+        labels = components(links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), work)
+    else:
+        found = components(links, work)
+        labels = found.unionByName(
+            copies.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component")))
+    out = base.select("doc_id", "n_shingles").join(
+        labels.where("component < id").select(F.col("id").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
     comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each group, that of the least id, all columns as they were."""
-    found = materialize(near_duplicates(docs, n, percent), "found")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    found = near_duplicates(docs, n, percent)
+    gone, row = fresh_name(docs, "gone"), fresh_name(docs, "row")
+    leave = found.where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    most = leave.count()
+    out = docs.join(F.broadcast(sized(leave, most)) if most <= HINT_IDS else leave, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if not again.agg(F.count("*")).first()[0]:
         return out
     # rows that repeat an id are one document: the row with the least text stays
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[c for c in docs.columns]))
-    single = out.where("doc_id IS NOT NULL").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    single = out.where("doc_id IS NOT NULL").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
     return single.unionByName(out.where("doc_id IS NULL"))
