@@ -1,14 +1,17 @@
 """Language identification by nearest centroids of TF-IDF byte n-grams.
 
-Texts become counts of hashed 2- and 3-byte n-grams of their lower-cased UTF-8 bytes, damped
-by a square root, weighted by inverse document frequency and normalised. Each language holds
-several centroids, found by spherical k-means on its training vectors; a text takes the
+Texts, without the words that hold a digit or an @ (numbers, addresses, keys belong to no
+language) and with signs taken for spaces (a table or shouting is no language either), become counts of hashed 2- and 3-byte n-grams of their lower-cased UTF-8 bytes,
+damped by a square root, weighted by inverse document frequency and normalised. Each language
+holds several centroids, found by spherical k-means on its training vectors; a text takes the
 language of the centroid with the highest cosine. A text whose best cosine lies below a
-floor for its length, learnt from the training texts, is rejected.
+floor for its length, learnt from the training texts, is rejected: other scripts, unknown
+languages, code and random letters lie below it, at every length from a few words up.
 
 The classifier is fitted on at most ``per_lang`` labelled rows of each language, those with
-the smallest hash of the id (a bounded sample; its bound is a parameter). Prediction is a
-map over all rows, whole texts, with the model (under 2 MB) sent to each task.
+the smallest hash of id and text, of each at most ``max_chars`` characters (a bounded sample;
+its bounds are parameters). Prediction is a map over all rows, whole texts, with the model
+(under 2 MB) sent to each task.
 
 Defined cases: a text that is null or has no letter is ``und``, score 0, rejected; ties
 between centroids go to the language that sorts first; equal texts get equal answers; with
@@ -19,6 +22,7 @@ ignored by ``predict``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +34,20 @@ from meshwright.llm.common import fold_of, small_arrow_batches
 
 DIM = 1 << 12
 CHUNK = 1 << 21
+MARKED = re.compile(r"\S*[0-9@]\S*")
+#: ASCII and Latin-1 signs, general and ideographic punctuation.
+SIGNS = re.compile("[\x00-\x40\x5b-\x60\x7b-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u206f\u3000-\u3004\u3008-\u3020]+")
+
+
+def plain(text: str) -> str:
+    """The text without words that hold a digit or an @ (unless no letter is left), signs as spaces."""
+    left = MARKED.sub(" ", text)
+    return SIGNS.sub(" ", left if any(map(str.isalpha, left)) else text)
 
 
 def grams(texts: list[str], dim: int = DIM) -> np.ndarray:
     """Square-rooted counts of hashed byte 2- and 3-grams, one row a text (float32)."""
-    raw = [b" " + t.lower().encode() + b" " for t in texts]
+    raw = [b" " + plain(t).lower().encode("utf-8", "replace") + b" " for t in texts]
     out = np.zeros((len(raw), dim), np.float32)
     lengths = np.array([len(r) for r in raw], np.int64)
     start = 0
@@ -42,19 +55,19 @@ def grams(texts: list[str], dim: int = DIM) -> np.ndarray:
         if lengths[start] > CHUNK:
             body = raw[start]
             for at in range(0, len(body), CHUNK):
-                _count(body[at : at + CHUNK + 2], None, out[start : start + 1], dim, at == 0)
+                _count(body[at : at + CHUNK + 2], None, out[start : start + 1], dim)
             start += 1
             continue
         stop, total = start, 0
         while stop < len(raw) and (stop == start or total + lengths[stop] <= CHUNK):
             total += lengths[stop]
             stop += 1
-        _count(b"".join(raw[start:stop]), lengths[start:stop], out[start:stop], dim, True)
+        _count(b"".join(raw[start:stop]), lengths[start:stop], out[start:stop], dim)
         start = stop
     return np.sqrt(out, out=out)
 
 
-def _count(body: bytes, lengths: np.ndarray | None, out: np.ndarray, dim: int, _first: bool) -> None:
+def _count(body: bytes, lengths: np.ndarray | None, out: np.ndarray, dim: int) -> None:
     b = np.frombuffer(body, np.uint8).astype(np.uint32)
     if len(b) < 2:
         return
@@ -141,28 +154,30 @@ def fit_rows(texts: list[str], langs: list[str], k: int = 3, seed: int = 5, dim:
     return Model(names, idf, centroids, np.array(owner), floors_of(best, bins))
 
 
-def floors_of(best: np.ndarray, bins: np.ndarray, least: int = 20) -> np.ndarray:
-    """Half the lowest cosine of training texts as long or longer by at most one bin.
+def floors_of(best: np.ndarray, bins: np.ndarray, least: int = 20, near: int = 200, share: float = 0.6) -> np.ndarray:
+    """A share of the lowest cosine of training texts as long or longer by at most one bin.
 
-    Where those are fewer than ``least``, bins on both sides join in until they are enough, so
-    a sparse bin borrows from its neighbours and never lies above its own texts.
+    Where those are fewer than ``near``, bins on both sides join in until they are enough (or
+    all), so a sparse bin borrows from its neighbours. Fewer than ``least`` texts in all teach no
+    floor.
     """
     floors = np.zeros(15)
     if len(best) < least:
         return floors
+    near = min(near, len(best))
     for b in range(15):
-        near = next(n for r in range(15) if len(n := best[(bins >= b - r) & (bins <= b + 1 + r)]) >= least)
-        floors[b] = 0.5 * near.min()
+        some = next(n for r in range(15) if len(n := best[(bins >= b - r) & (bins <= b + 1 + r)]) >= near)
+        floors[b] = share * some.min()
     return np.minimum.accumulate(floors[::-1])[::-1]
 
 
-def fit(train: DataFrame, per_lang: int = 400, max_rows: int = 80_000, k: int = 3) -> Model:
+def fit(train: DataFrame, per_lang: int = 400, max_rows: int = 80_000, k: int = 3, max_chars: int = 50_000) -> Model:
     """Fit on rows of (doc_id, text, lang) with at most per_lang rows of each language.
 
     No language is left out: with more than max_rows / per_lang of them each gives fewer rows.
     """
     rows = train.where("text IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select(
-        "lang", "text", F.xxhash64(F.lit(3), "doc_id").alias("h"))
+        "lang", F.substring("text", 1, max_chars).alias("text"), F.xxhash64(F.lit(3), "doc_id", "text").alias("h"))
     sizes = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     if not sizes:
         return fit_rows([], [])
@@ -171,7 +186,8 @@ def fit(train: DataFrame, per_lang: int = 400, max_rows: int = 80_000, k: int =
     # none is left without), then the smallest hashes
     cuts = [(lang, int(min(1.0, (2.0 * per_lang + 20) / n) * (1 << 64)) - (1 << 63) - 1) for lang, n in sizes]
     cut = F.broadcast(train.sparkSession.createDataFrame(cuts, "lang string, cut long"))
-    got = rows.join(cut, "lang").where("h <= cut").drop("cut").toPandas().sort_values(["lang", "h", "text"]).groupby("lang").head(per_lang)
+    # rows that repeat id and text are one row of the sample
+    got = rows.join(cut, "lang").where("h <= cut").drop("cut").dropDuplicates(["lang", "h"]).toPandas().sort_values(["lang", "h", "text"]).groupby("lang").head(per_lang)
     return fit_rows(got["text"].tolist(), got["lang"].tolist(), k)
 
 
