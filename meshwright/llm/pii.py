@@ -2,13 +2,15 @@
 
 Base spans are the leftmost non-overlapping matches of four patterns that pass their check.
 The tagger is a bidirectional LSTM over characters with CRF transitions (BIO tags of email,
-ip, card, phone), trained in numpy from labelled spans. Every span of these kinds holds a
-digit or an @, so the tagger reads every stretch around such characters, whatever its place
-in the text: stretches are cut into overlapping windows, all windows of a batch are tagged
-together, and each character takes its tag scores from the window in which it lies deepest.
-One CRF decoding then runs over each whole stretch, so windows are reconciled globally.
-A decoded span is added where it overlaps no base span, its mean tag probability is high and
-it passes the shape test of its kind.
+ip, card, phone and secret), trained in numpy from labelled spans. It finds what the patterns
+cannot say: the value of a key, token or password by the words before it, addresses spelt with
+"at" and "dot", phone numbers without a plus. Every such span holds a digit, an @ or the word
+dot, so the tagger reads every stretch around those, whatever its place in the text: stretches
+are cut into overlapping windows, all windows of a batch are tagged together, and each
+character takes its tag scores from the window in which it lies deepest. One CRF decoding then
+runs over each whole stretch, so windows are reconciled globally. A decoded span is added
+where it overlaps no base span, its mean tag probability is high and it passes the shape test
+of its kind. ``held_out_quality`` measures precision and recall on invented lines not trained on.
 
 Defined cases: a null or empty text has no spans; a very long text is many windows; digit
 runs of any length are safe; equal texts get equal spans; an empty table gives no rows;
@@ -86,33 +88,35 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the tagger
 
-TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-CLASSES = 64
-HIDDEN, EMBED = 16, 12
-WINDOW, OVERLAP, MARGIN = 64, 24, 24
+#: Kinds that only the tagger finds follow the base kinds.
+ALL_KINDS = (*KINDS, "secret")
+TAGS = ["O", *(f"{p}-{k}" for k in ALL_KINDS for p in "BI")]
+CLASSES = 96
+HIDDEN, EMBED = 24, 16
+WINDOW, OVERLAP, MARGIN = 96, 32, 24
 
 
 def classes(text: str) -> np.ndarray:
-    """Character classes: digits, letters by case, each ASCII sign of its own, white space, the rest."""
+    """Character classes: 0, other digits, each ASCII letter and sign of its own, white space, the rest."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     return CLASS_OF[np.minimum(c, 128)]
 
 
 def _class_table() -> np.ndarray:
+    """0 is padding and control characters; 1 is all beyond ASCII."""
     out = np.zeros(129, np.int64)
-    signs = 0
-    for c in range(129):
+    out[128] = 1
+    signs = 58
+    for c in range(128):
         ch = chr(c)
-        if c == 128:
-            out[c] = 1
-        elif "0" <= ch <= "9":
+        if ch.isdigit():
             out[c] = 2 + (ch != "0")
         elif ch.isalpha():
-            out[c] = 4 + (ch.isupper())
-        elif ch in " \t\n\r\v\f":
-            out[c] = 6 + (ch == "\n")
-        elif c >= 33 and c < 127:
-            out[c] = 8 + signs
+            out[c] = 6 + (ord(ch.lower()) - 97) + 26 * ch.isupper()
+        elif ch.isspace():
+            out[c] = 4 + (ch == "\n")
+        elif 33 <= c < 127:
+            out[c] = signs
             signs += 1
     return out
 
@@ -307,7 +311,7 @@ class Tagger:
         return out
 
 
-SEED = re.compile(r"[0-9@]")
+SEED = re.compile(r"[0-9@]|\b[Dd][Oo][Tt]\b")
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -341,10 +345,29 @@ def labelled(n: int, seed: int) -> tuple[list[str], list[list[Span]]]:
         user = word().lower() + pick("", ".", "_", "+") + pick(word().lower(), digits(2))
         return f"{user}@{word().lower()}.{pick('com', 'org', 'net', 'example', 'co.uk', 'io')}"
 
-    make = {"email": email, "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), "card": card, "phone": phone}
+    def spelt() -> str:
+        at, dot = pick((" at ", " dot "), (" AT ", " DOT "), ("(at)", "(dot)"), (" [at] ", " [dot] "))
+        return f"{word().lower()}{at}{word().lower()}{dot}{pick('com', 'org', 'net', 'io')}"
+
+    def drawn(signs: str, low: int, high: int) -> str:
+        body = "".join(signs[i] for i in rng.integers(0, len(signs), int(rng.integers(low, high))))
+        return body[:3] + digits(1) + body[3:] + "abcdefgh"[rng.integers(8)]
+
+    def secret() -> tuple[str, str, str]:
+        """What stands before, the value, what stands after."""
+        name = pick("token", "api_key", "apikey", "API key", "secret", "password", "passwd", "access_key", "auth_token", "client_secret", "key")
+        name = pick(name, name, name.upper(), name.capitalize())
+        value = pick(drawn("0123456789abcdef", 28, 62), drawn("0123456789abcdef", 36, 40), drawn("0123456789ABCDEF", 28, 42),
+                     drawn("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 14, 44), drawn("abcdefghijklmnopqrstuvwxyz0123456789-_", 14, 40))
+        quote = pick('"', '"', "'", "")
+        return name + pick(" = ", "=", ": ", " : ", " is ", "\": \"" if quote == '"' else "=") + quote, value, quote
+
+    make = {"email": lambda: email() if rng.random() < 0.7 else spelt(), "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), "card": card, "phone": phone}
     decoy = [
         lambda: digits(int(rng.integers(1, 9))), lambda: f"{digits(2)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}",
-        lambda: f"{rng.integers(1900, 2100)}-{digits(2)}-{digits(2)}", lambda: "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, 32)),
+        lambda: f"{rng.integers(1900, 2100)}-{digits(2)}-{digits(2)}", lambda: drawn("0123456789abcdef", 28, 40), lambda: f"at the dot {word().lower()}",
+        lambda: f"{pick('commit', 'sha256', 'file', 'id', 'page', 'total', 'version', 'part')}{pick(' ', ': ', ' = ')}{drawn('0123456789abcdef', 6, 40)}",
+        lambda: f"{pick('key', 'token', 'secret', 'password')} {pick('of', 'to', 'was', 'and')} {digits(int(rng.integers(1, 5)))} {word().lower()}",
         lambda: f"@{word().lower()}", lambda: f"{digits(3)},{digits(3)}", lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: "$" + digits(4),
         lambda: "https://" + word().lower() + ".com/" + digits(5), lambda: digits(int(rng.integers(20, 40))), lambda: f"###{digits(1)}", lambda: f"{digits(3)}-{digits(4)}",
     ]
@@ -353,10 +376,12 @@ def labelled(n: int, seed: int) -> tuple[list[str], list[list[Span]]]:
         text, own = prose(int(rng.integers(0, 6))), []
         for _ in range(int(rng.integers(1, 3))):
             text += pick(" ", " ", "\n", ": ", ", ", "=", "") if text else ""
-            if rng.random() < 0.65:
-                kind = pick(*KINDS)
-                value = make[kind]()
+            if rng.random() < 0.7:
+                kind = pick(*ALL_KINDS)
+                before, value, after = secret() if kind == "secret" else ("", make[kind](), "")
+                text += before
                 own.append((len(text), len(text) + len(value), kind))
+                value += after
             else:
                 value = decoy[int(rng.integers(len(decoy)))]()
             text += value + pick(" ", ". ", ", ", "\n", "###", "$$$ ", "") + prose(int(rng.integers(0, 4)))
@@ -382,7 +407,7 @@ def as_windows(texts: list[str], spans: list[list[Span]]) -> tuple[np.ndarray, n
 
 
 @functools.lru_cache(maxsize=2)
-def trained(n: int = 2400, epochs: int = 8, seed: int = 7) -> Tagger:
+def trained(n: int = 3600, epochs: int = 8, seed: int = 7) -> Tagger:
     """The tagger fitted on n invented labelled lines; once a process."""
     tagger = Tagger(seed)
     tagger.fit(*as_windows(*labelled(n, seed)), epochs)
@@ -391,10 +416,11 @@ def trained(n: int = 2400, epochs: int = 8, seed: int = 7) -> Tagger:
 
 #: Added spans must look like their kind; digits are counted.
 SHAPES = {
-    "email": (re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+\Z"), 0, 99),
+    "email": (re.compile(r"(?i)([^\s@]+@[^\s@]+\.[^\s@]+|\w[\w.+-]* ?[(\[]?at[)\]]? ?\w[\w-]* ?[(\[]?dot[)\]]? ?[a-z]{2,6})\Z"), 0, 99),
     "ip": (re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}\Z"), 4, 12),
     "card": (re.compile(r"[0-9][0-9 -]*[0-9]\Z"), 14, 19),
     "phone": (re.compile(r"[+(]?[0-9][0-9() .-]*[0-9]\Z"), 10, 15),
+    "secret": (re.compile(r"(?=[^\s]*[0-9])(?=[^\s]*[A-Za-z])[A-Za-z0-9+/_=.-]{12,}\Z"), 1, 999),
 }
 
 
@@ -420,10 +446,22 @@ def all_spans(texts: list[str | None], tagger: Tagger, least: float = 0.9) -> li
             (a, b, kind) for a, b, kind, p in more
             if p >= least and all(b <= x or a >= y for x, y, _ in own) and plausible(kind, text[a:b], text[a - 1 : a] if a else "", text[b : b + 1])
         ]
-        out.append((own, sorted(own + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))))
+        out.append((own, sorted(own + added, key=lambda s: (s[0], ALL_KINDS.index(s[2]), s[1]))))
     return out
 
 
+def held_out_quality(n: int = 600, seed: int = 99, least: float = 0.9) -> dict[str, tuple[int, int, int]]:
+    """kind -> (right, found, there): whole spans found on invented lines that were not trained on."""
+    texts, gold = labelled(n, seed)
+    out = {k: [0, 0, 0] for k in ALL_KINDS}
+    for own, (_, whole) in zip(gold, all_spans(texts, trained(), least), strict=True):
+        for kind in ALL_KINDS:
+            want, got = {s for s in own if s[2] == kind}, {s for s in whole if s[2] == kind}
+            for k, x in enumerate((want & got, got, want)):
+                out[kind][k] += len(x)
+    return {k: tuple(v) for k, v in out.items()}
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
