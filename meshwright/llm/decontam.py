@@ -7,17 +7,18 @@ far the window may move on, mostly nine words; where the shift is zero, the hash
 window's last and first block select a bucket of patterns, which are compared word by word.
 Many cursors advance together, each over its own stretch of the batch.
 
-Patterns are held in blocks of bounded size. While they fit ``BROADCAST_BYTES`` together they
-are broadcast; beyond that each block is a file in the shared folder, loaded in turn.
+The benchmark is read in parts of at most ``PART_BYTES`` of text, each with its own word numbers
+and windows, so the driver never holds more than one part. A benchmark of one part is
+broadcast; of several, each is a file in the shared folder, loaded by the tasks in turn.
 
 Defined cases: null texts have no words; items without words match nothing; repeated items
-and windows count once each; a very long text is one array; an empty benchmark leaves all
-documents clean; other columns pass through ``keep_clean`` untouched.
+and windows count once each; a null item_id is the item ``null``; a very long text is one
+array; an empty benchmark leaves all documents clean; other columns pass through
+``keep_clean`` untouched.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -29,8 +30,7 @@ from meshwright.llm.common import open_fs, shared_folder, small_arrow_batches, t
 
 WINDOW = 10
 TABLE_BITS = 16
-BROADCAST_BYTES = 64 << 20
-BLOCK_PATTERNS = 500_000
+PART_BYTES = 8 << 20
 #: A-Z become a-z; 0-9, a-z and bytes from 0x80 are word bytes; all else parts words.
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -108,10 +108,10 @@ class Block:
 
 
 class Patterns:
-    """The vocabulary of a benchmark and its blocks of windows."""
+    """Word numbers, item names and windows of a part of a benchmark."""
 
-    def __init__(self, rows: list[tuple[object, bytes | None]], window: int = WINDOW, block: int = BLOCK_PATTERNS):
-        self.names = sorted({str(i) for i, _ in rows})
+    def __init__(self, rows: list[tuple[object, bytes | None]], window: int = WINDOW):
+        self.names = sorted({name_of(i) for i, _ in rows})
         number = {x: k for k, x in enumerate(self.names)}
         self.vocab: dict[bytes, int] = {}
         by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
@@ -119,67 +119,81 @@ class Patterns:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
             m = min(window, len(ids))
             for at in range(len(ids) - m + 1 if m else 0):
-                by_length.setdefault(m, {}).setdefault(tuple(ids[at : at + m]), set()).add(number[str(item)])
-        self.blocks: list[Block] = []
-        for m, found in sorted(by_length.items()):
-            keys = sorted(found)
-            for at in range(0, len(keys), block):
-                part = keys[at : at + block]
-                self.blocks.append(Block(m, np.array(part, np.int32).reshape(-1, m), [np.array(sorted(found[k])) for k in part]))
-
-    def search(self, texts: list[bytes | None], blocks: Iterator[Block]) -> list[tuple[int, int, list[str]]]:
-        """(words, words hit, item ids as strings) of each text."""
-        words = [words_of(t) for t in texts]
-        size = np.array([len(w) for w in words], np.int64)
-        starts = np.concatenate([[0], np.cumsum(size + 1)]).astype(np.int64)
+                by_length.setdefault(m, {}).setdefault(tuple(ids[at : at + m]), set()).add(number[name_of(item)])
+        self.blocks = [
+            Block(m, np.array(keys, np.int32).reshape(-1, m), [np.array(sorted(found[k])) for k in keys])
+            for m, found in sorted(by_length.items()) for keys in [sorted(found)]
+        ]
+
+    def mark(self, words: list[list[bytes]], starts: np.ndarray, hit: np.ndarray, items: dict[int, set[str]]) -> None:
+        """Set the places of hit words, and add the items found to their documents."""
         flat = np.zeros(int(starts[-1]), np.int32)  # one 0 parts documents; no window holds it
         get = self.vocab.get
         for w, s in zip(words, starts, strict=False):
             flat[s : s + len(w)] = [get(x, 0) for x in w]
-        mark = np.zeros(len(flat) + 1, np.int32)
-        items: dict[int, set[int]] = {}
-        for block in blocks:
+        edge = np.zeros(len(flat) + 1, np.int32)
+        for block in self.blocks:
             end, which = block.find(flat)
-            np.add.at(mark, end - block.m + 1, 1)
-            np.add.at(mark, end + 1, -1)
+            np.add.at(edge, end - block.m + 1, 1)
+            np.add.at(edge, end + 1, -1)
             doc = np.searchsorted(starts, end, "right") - 1
             for d, w in set(zip(doc.tolist(), which.tolist(), strict=True)):
-                items.setdefault(d, set()).update(block.items[w].tolist())
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(mark[:-1]) > 0)])
-        hits = hit[starts[1:]] - hit[starts[:-1]]
-        return [(int(n), int(h), [self.names[k] for k in sorted(items.get(i, ()))]) for i, (n, h) in enumerate(zip(size, hits, strict=True))]
+                items.setdefault(d, set()).update(self.names[k] for k in block.items[w].tolist())
+        hit |= np.cumsum(edge[:-1]) > 0
+
+
+def name_of(item: object) -> str:
+    return "null" if item is None else str(item)
 
 
 class Matcher:
-    """Sent to the tasks: the patterns themselves or, beyond the bound, the files of their blocks."""
+    """Sent to the tasks: the only part of the benchmark or, where there are more, their files."""
 
-    def __init__(self, benchmark: DataFrame, window: int = WINDOW, bound: int = BROADCAST_BYTES):
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW, bound: int = PART_BYTES):
         spark = benchmark.sparkSession
-        rows = [(r["item_id"], bytes(r["text"]) if r["text"] is not None else None) for r in
-                benchmark.selectExpr("item_id", "cast(text AS binary) AS text").toLocalIterator()]
-        patterns = Patterns(rows, window)
-        size = sum(b.windows.nbytes + 24 * len(b.items) for b in patterns.blocks)
         self.files: list[str] = []
-        if size > bound:
-            folder = shared_folder(spark, "patterns")
+        folder, rows, size = "", [], 0
+
+        def to_file() -> None:
+            nonlocal folder
+            folder = folder or shared_folder(spark, "patterns")
             fs, inner = open_fs(folder)
             fs.create_dir(inner, recursive=True)
-            for k, block in enumerate(patterns.blocks):
-                with fs.open_output_stream(f"{inner}/{k}.block", compression=None) as out:
-                    out.write(pickle.dumps(block))
-                self.files.append(f"{folder}/{k}.block")
-            patterns.blocks = []
-        self.shared = spark.sparkContext.broadcast(patterns)
-
-    def _blocks(self) -> Iterator[Block]:
-        yield from self.shared.value.blocks
+            path = f"{len(self.files)}.part"
+            with fs.open_output_stream(f"{inner}/{path}", compression=None) as out:
+                out.write(pickle.dumps(Patterns(rows, window)))
+            self.files.append(f"{folder}/{path}")
+
+        for r in benchmark.selectExpr("item_id", "cast(text AS binary) AS text").toLocalIterator():
+            text = bytes(r["text"]) if r["text"] is not None else None
+            if rows and size + len(text or b"") > bound:
+                to_file()
+                rows, size = [], 0
+            rows.append((r["item_id"], text))
+            size += len(text or b"")
+        if self.files:
+            to_file()
+            rows = []
+        self.shared = spark.sparkContext.broadcast(Patterns(rows, window))
+
+    def _parts(self) -> Iterator[Patterns]:
+        yield self.shared.value
         for path in self.files:
             fs, inner = open_fs(path)
             with fs.open_input_stream(inner, compression=None) as src:
                 yield pickle.loads(src.read())
 
     def search(self, texts: list[bytes | None]) -> list[tuple[int, int, list[str]]]:
-        return self.shared.value.search(texts, self._blocks())
+        """(words, words hit, item ids as strings) of each text."""
+        words = [words_of(t) for t in texts]
+        size = np.array([len(w) for w in words], np.int64)
+        starts = np.concatenate([[0], np.cumsum(size + 1)]).astype(np.int64)
+        hit, items = np.zeros(int(starts[-1]), bool), {}
+        for part in self._parts():
+            part.mark(words, starts, hit, items)
+        total = np.concatenate([[0], np.cumsum(hit)])
+        hits = total[starts[1:]] - total[starts[:-1]]
+        return [(int(n), int(h), sorted(items.get(i, ()))) for i, (n, h) in enumerate(zip(size, hits, strict=True))]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -208,7 +222,3 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
             yield batch.filter(pa.array([f[1] == 0 for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
