@@ -7,8 +7,10 @@ written as two Gray-coded bits, so a frame is one 32-bit integer. Two recordings
 by a histogram of offsets at which halves of their integers agree; the bit errors over the
 overlap at the best offsets decide.
 
-Search: the stated queries are taken in blocks of bounded size, each sent to all recordings;
-equal fingerprints of a block are one query. Only confirmed matches leave a task.
+Search: queries with equal fingerprints are one, under their least id, over the whole table of
+queries; ``classes`` gives the membership. They are taken in blocks of bounded size, each sent
+to all recordings; the answer does not depend on the size of a block. Only confirmed matches
+leave a task.
 
 Defined cases: a null, empty or too short recording has no codes and matches nothing; NaN
 and infinite samples count as silence; equal fingerprints form a class named by its least
@@ -212,9 +214,10 @@ def fingerprint_table(media: DataFrame, samples: str = "samples", render: bool =
 def search(prints: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """id, query_id, offset, overlap, bit_errors: every recording that a query aligns with.
 
-    Equal query fingerprints answer once per block, under their least id.
+    Equal query fingerprints answer once, under their least id.
     """
     spark = prints.sparkSession
+    queries = queries.where("n_codes > 0").groupBy("codes").agg(F.min("id").alias("id"))
     schema = "id long, query_id long, offset long, overlap long, bit_errors long"
     path = shared_folder(spark, "matches")
     spark.createDataFrame([], schema).write.parquet(path)
@@ -234,7 +237,7 @@ def search(prints: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> D
         shared.unpersist()
 
     ids, held = [], []
-    for row in queries.where("n_codes > 0").select("id", "codes").toLocalIterator():
+    for row in queries.select("id", "codes").toLocalIterator():
         ids.append(row["id"])
         held.append(np.frombuffer(bytes(row["codes"]), "<u4"))
         if len(ids) == block:
