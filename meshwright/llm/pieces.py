@@ -71,7 +71,8 @@ class PieceModel:
             codes = np.array([[ord(c) for c in self.pieces[i]] for i in ids], np.uint64)
             h = self._hash(codes)
             order = np.argsort(h)
-            assert len(np.unique(h)) == len(h), "two pieces share a hash"
+            if len(np.unique(h)) != len(h):
+                raise ValueError("two pieces of the model share a hash")
             self.tables[n] = (h[order], ids[order].astype(np.int32), codes[order].astype(np.uint32))
         self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE, np.uint64)]), dtype=np.uint64)
         self.known: dict[str, bytes] = {}
@@ -113,7 +114,14 @@ class PieceModel:
                 reach.append(ids[piece])
                 if pair:
                     split[piece] = pair
-        depth = 24
+        def chain(piece: str, take: int) -> int:
+            """How many pieces the edge of a merge tree has, down to a single character."""
+            steps = 1
+            while piece in split:
+                piece, steps = split[piece][take], steps + 1
+            return steps
+
+        depth = max((chain(self.pieces[i], take) for i in reach for take in (0, 1)), default=1)
         n = len(self.pieces)
         self.edge = {side: (np.full((n, depth), -1, np.int32), np.full((n, depth), far, np.int32)) for side in ("left", "right")}
         for i in reach:

@@ -214,12 +214,28 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+#: Texts on which a vocabulary must give the ids of its space-separated words, or it is refused.
+PROBES = (
+    "Hello, World!  two  spaces\tand a tab\nand a line", "it's 12,345.67 a.b@c.org x_y-z (q) [r] {s}", "naïve Äpfel ŒUVRE señor ÉCOLE straße",
+    "</s> <s>[INST] ok [/INST] <<SYS>>", "日本語 текст עברית 🙂🙂 e\u0301", " lead and trail ", "",
+)
+
+
+def refuse_others(path: str) -> None:
+    """An error for a vocabulary whose ids of a text are not those of its words in order."""
+    words = encoder_of(path)
+    for text in PROBES:
+        if words.encode([text])[0] != words.whole(text):
+            raise ValueError(f"{path}: tokens span white space, so texts cannot be encoded by words")
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Encode (doc_id, text) and write one file per range of doc_id.
 
     Returns the manifest: part, path, n_docs, n_tokens, first_id; parts ascend with doc_id.
     """
     spark = docs.sparkSession
+    refuse_others(tokenizer_path)
     small_arrow_batches(spark, 500)
     folder = shared_folder(spark, "tokens")
 
@@ -286,7 +302,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 def fetch_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """Token ids of the wanted doc_ids only; frames that hold none of them stay compressed.
 
-    ``wanted`` is one column doc_id; it is matched to files by their ranges of ids.
+    ``wanted`` is one column doc_id; it is matched to files by their ranges of ids. A null matches nothing.
     """
     ranges = materialize(
         manifest.select("path", F.coalesce("first_id", F.lit(NULL_ID)).alias("first_id"), F.lead("first_id").over(Window.orderBy("part")).alias("next_id")), "ranges"
