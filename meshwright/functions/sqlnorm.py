@@ -1,4 +1,13 @@
-"""Literal-free normal form of SQL text, by a vectorised (Arrow batch) UDF around one scanner."""
+"""Literal-free normal form of SQL text, by a vectorised (Arrow batch) UDF.
+
+Literals, numbers and placeholders become ``?``; comments go (block comments nest); words of the
+keyword list are upper case, others lower; quoted identifiers lose their quotes where the bare
+form would read the same. Tokens are joined by single spaces, and only the lists after IN and
+VALUES collapse: ``coalesce(?, ?)`` keeps its arguments. Literals are blanked first, so that the
+few shapes of a large table are scanned once each and then looked up.
+
+A character beyond ASCII outside quotes is a token of its own. Null and empty text give empty parts.
+"""
 
 from __future__ import annotations
 
@@ -8,72 +17,110 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 #: Words written in upper case.
-KEYWORDS = frozenset(
-    "SELECT INSERT UPDATE DELETE MERGE REPLACE UPSERT INTO FROM WHERE SET VALUES AND OR NOT IN IS NULL AS ON JOIN LEFT RIGHT INNER OUTER GROUP ORDER BY LIMIT OFFSET HAVING RETURNING USING DISTINCT BETWEEN LIKE ONLY".split()
-)
+KEYWORDS = {
+    "SELECT", "INSERT", "UPDATE", "DELETE", "FROM", "INTO", "WHERE", "VALUES", "SET", "AND", "OR", "IN", "JOIN", "LEFT", "RIGHT", "INNER",
+    "OUTER", "ON", "AS", "ORDER", "BY", "GROUP", "HAVING", "LIMIT", "OFFSET", "RETURNING", "NULL", "IS", "NOT", "MERGE", "UPSERT", "REPLACE", "USING",
+}
+#: Words between UPDATE and its table.
+UPDATE_QUALIFIERS = {"only", "low_priority", "ignore"}
+
+STRING = r"'(?:\\.?|''|[^'\\])*(?:'|\Z)"
+QUOTED = r'"(?:""|[^"])*"?|`(?:``|[^`])*`?'
+TAG = r"\$(?:[A-Za-z_][A-Za-z0-9_]*)?\$"
 TOKEN = re.compile(
-    r"""(?P<skip>--[^\n]*|\s+)|(?P<dollar>\$(?P<tag>[A-Za-z_]*)\$.*?\$(?P=tag)\$)|(?P<str>'(?:[^'\\]|\\.|'')*'?)|(?P<ident>"(?:[^"]|"")*"|`[^`]*`|\[[A-Za-z_][^\]]*\])"""
-    r"""|(?P<hold>\$[0-9]+|\?|:[A-Za-z_]\w*|@\w+|%s)|(?P<num>[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(?P<word>[^\W\d]\w*)|(?P<sign><>|<=|>=|!=|\|\||::|.)""",
-    re.S | re.X,
-)
-
-
-def strip_comments(raw: str) -> str:
-    """Drop block comments, which nest, outside strings."""
-    out, i, depth = [], 0, 0
-    while i < len(raw):
-        two = raw[i : i + 2]
-        if depth == 0 and raw[i] == "'":
-            m = re.compile(r"'(?:[^'\\]|\\.|'')*'?", re.S).match(raw, i)
-            out.append(m.group())
-            i = m.end()
-        elif two == "/*":
-            depth, i = depth + 1, i + 2
-        elif two == "*/" and depth:
-            depth, i = depth - 1, i + 2
-            out.append(" " if depth == 0 else "")
-        else:
-            out.append(raw[i] if depth == 0 else "")
-            i += 1
-    return "".join(out)
+    rf"(?P<skip>[ \t\n\r]+|--[^\n]*)|(?P<block>/\*)|(?P<value>{STRING}|(?P<tag>{TAG}).*?(?P=tag)|(?<![A-Za-z0-9_]){TAG}.*|[$:@][A-Za-z0-9_]*|\?|\.?[0-9][0-9.]*)"
+    rf"|(?P<quoted>{QUOTED})|(?P<word>[A-Za-z_][A-Za-z0-9_]*)|(?P<sign>.)", re.S)
+#: What may be blanked ahead of scanning: each match is a whole token wherever it stands.
+BLANK = re.compile(rf"--[^\n]*|{STRING}|{QUOTED}|(?<![A-Za-z0-9_$:@.])[0-9][0-9.]*", re.S)
+HARD = re.compile(rf"/\*|{TAG}")
+BLOCK_EDGE = re.compile(r"/\*|\*/")
+LIST = r"\(\s*\?(?:\s*,\s*\?)*\s*\)"
+IN_LIST = re.compile(rf"\bIN\s*{LIST}")
+VALUES_LISTS = re.compile(rf"\bVALUES\s*{LIST}(?:\s*,\s*{LIST})*")
+
+
+def _identifier(text: str) -> str:
+    """A quoted identifier bare where it can be, else in double quotes."""
+    q = text[0]
+    body = text[1:-1] if len(text) > 1 and text[-1] == q else text[1:]
+    low = body.replace(q + q, q).lower()
+    if re.fullmatch(r"[a-z_][a-z0-9_]*", low) and low.upper() not in KEYWORDS:
+        return low
+    return '"' + low.replace('"', '""') + '"'
 
 
 def tokenize(raw: str) -> list[str]:
-    out = []
-    for m in TOKEN.finditer(strip_comments(raw or "")):
-        kind, text = m.lastgroup, m.group()
-        if m.group("skip") is not None:
-            continue
-        if m.group("dollar") is not None or kind in ("str", "hold", "num"):
+    out, at = [], 0
+    while at < len(raw):
+        m = TOKEN.match(raw, at)
+        at, text = m.end(), m.group()
+        if m["block"]:
+            depth = 1
+            while depth:
+                edge = BLOCK_EDGE.search(raw, at)
+                if edge is None:  # an open comment eats the rest
+                    return out
+                depth += 1 if edge.group() == "/*" else -1
+                at = edge.end()
+        elif m["value"]:
             out.append("?")
-        elif kind == "ident":
-            out.append(text[1:-1].lower())
-        elif kind == "word":
-            out.append(text.upper() if text.upper() in KEYWORDS else text.lower())
-        else:
+        elif m["quoted"]:
+            out.append(_identifier(text))
+        elif m["word"]:
+            up = text.upper()
+            out.append(up if up in KEYWORDS else text.lower())
+        elif m["sign"]:
             out.append(text)
     return out
 
 
+def _table_at(tokens: list[str], at: int) -> str | None:
+    """The table that a token names: a lower-case word or a quoted identifier."""
+    if at >= len(tokens):
+        return None
+    token = tokens[at]
+    if len(token) > 1 and token[0] == '"':
+        return token[1:-1].replace('""', '"')
+    return token if re.match(r"[a-z_]", token) else None
+
+
+def _operation(tokens: list[str]) -> tuple[str, str]:
+    op = tokens[0] if tokens else ""
+    if op == "UPDATE":
+        at = next((i for i, t in enumerate(tokens) if i and t not in UPDATE_QUALIFIERS), len(tokens))
+        return op, _table_at(tokens, at) or ""
+    ahead = {"SELECT": {"FROM"}}.get(op, {"INTO", "FROM"} if op in {"INSERT", "DELETE", "MERGE", "REPLACE", "UPSERT"} else set())
+    found = (_table_at(tokens, i + 1) for i, t in enumerate(tokens) if t in ahead)
+    return op, next((t for t in found if t is not None), "")
+
+
+def _scan(raw: str) -> tuple[str, str, str]:
+    tokens = tokenize(raw)
+    text = VALUES_LISTS.sub("VALUES (?)", IN_LIST.sub("IN (?)", " ".join(tokens)))
+    return (re.sub(r"\s+", " ", text).strip(), *_operation(tokens))
+
+
+def _blank(m: re.Match) -> str:
+    text = m.group()
+    return " " if text[0] == "-" else text if text[0] in "\"`" else "?"
+
+
+_shapes: dict[str, tuple[str, str, str]] = {}
+
+
 def normalize(raw: str | None) -> tuple[str, str, str]:
     """(statement, operation, primary table)."""
-    toks = [t for t in tokenize(raw or "") if t != ";"]
-    text = " ".join(toks)
-    text = re.sub(r"([.(]) ", r"\1", re.sub(r" ([.(),])", r"\1", text))
-    text = re.sub(r"\(\?(?:, \?)+\)", "(?)", text)
-    text = re.sub(r"VALUES ?\(\?\)(?:, \(\?\))+", "VALUES(?)", text)
-    op = toks[0].upper() if toks else ""
-    after = {"INSERT": "INTO", "MERGE": "INTO", "REPLACE": "INTO", "UPSERT": "INTO", "DELETE": "FROM", "SELECT": "FROM"}.get(op)
-    at = next((i + 1 for i, t in enumerate(toks) if t == after), None) if after else 1 if op == "UPDATE" else None
-    if op == "UPDATE" and at is not None and at < len(toks) and toks[at] == "ONLY":
-        at += 1
-    table = ""
-    if at is not None and at < len(toks) and re.match(r"\w", toks[at]):
-        table = toks[at]
-        while at + 2 < len(toks) and toks[at + 1] == ".":
-            at += 2
-            table += "." + toks[at]
-    return text, op, table
+    if not raw:
+        return "", "", ""
+    if HARD.search(raw):
+        return _scan(raw)
+    shape = BLANK.sub(_blank, raw)
+    found = _shapes.get(shape)
+    if found is None:
+        if len(_shapes) >= 10_000:
+            _shapes.clear()
+        found = _shapes[shape] = _scan(shape)
+    return found
 
 
 def _batch(raw: pd.Series) -> pd.DataFrame:

@@ -158,7 +158,7 @@ def op_key(spark, sf):
     return e.select("event_id", L.op_key(lit("client"), attrs, F.col("event_type")).alias("op"))
 
 
-@register("sql_normalize", """SELECT l_orderkey * 10 + l_linenumber AS stmt_id, CASE l_returnflag WHEN 'N' THEN 'SELECT * FROM li WHERE k = ? AND q IN(?)' WHEN 'A' THEN 'UPDATE li SET price = ? WHERE k = ?' ELSE 'INSERT INTO li(k, q) VALUES(?)' END AS statement,
+@register("sql_normalize", """SELECT l_orderkey * 10 + l_linenumber AS stmt_id, CASE l_returnflag WHEN 'N' THEN 'SELECT * FROM li WHERE k = ? AND q IN (?)' WHEN 'A' THEN 'UPDATE li SET price = ? WHERE k = ?' ELSE 'INSERT INTO li ( k , q ) VALUES (?)' END AS statement,
  CASE l_returnflag WHEN 'N' THEN 'SELECT' WHEN 'A' THEN 'UPDATE' ELSE 'INSERT' END AS op, 'li' AS "table" FROM lineitem""")
 def sql_normalize(spark, sf):
     k, q, p = F.col("l_orderkey"), F.col("l_quantity"), F.col("l_extendedprice")
