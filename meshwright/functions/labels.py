@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 DML = ("INSERT", "UPDATE", "DELETE", "MERGE", "REPLACE", "UPSERT")
 HTTP_WRITES = ("POST", "PUT", "PATCH", "DELETE")
 METHOD_NAMED = ("blob", "cache", "rpc")
-DB_CONTROL = ("PING", "BEGIN", "COMMIT", "ROLLBACK", "CONN", "STATS", "PREPARE", "SET")
 DISCLOSURE_ONLY = ("ExternalBoundaryCall", "Truncated")
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
@@ -71,9 +70,12 @@ def write_label(dst: Column | str) -> Column:
 
 
 def unclassified_db(dst: Column | str) -> Column:
+    """A db effect whose verb is no DML, no SELECT and no driver or transaction control."""
+    from meshwright.functions.symbols import db_control
+
     f = fields(dst)
-    verb = F.upper(F.try_element_at(f, F.lit(2)))
-    return (f[0] == "db") & ~F.coalesce(verb.isin(*DML, "SELECT", *DB_CONTROL), F.lit(False))
+    verb = F.try_element_at(f, F.lit(2))
+    return is_boundary(dst) & (F.size(f) >= 2) & (f[0] == "db") & ~F.coalesce(F.upper(verb).isin(*DML, "SELECT") | db_control(verb), F.lit(False))
 
 
 def glob_match(pattern: str, s: Column | str) -> Column:
