@@ -7,6 +7,8 @@ a lost executor repeats at most one round.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +16,33 @@ from meshwright.durable import written
 from meshwright.functions import labels as L
 
 
+#: So many pairs may travel to every executor (some 20 MB).
+FEW = 200_000
+
+
 class GraphIndex:
-    """nodes(fqn, ..), internal(src, dst) distinct, effects(src, dst, ..) with duplicates, spots(site, kind, ..)."""
+    """nodes(fqn, ..), internal(src, dst) distinct, effects(src, dst, ..) with duplicates, spots(site, kind, ..).
+
+    ``effects`` may have labels with the prefix of boundary targets; ``labels`` has them without.
+    """
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, spots: DataFrame | None = None):
         self.nodes = nodes
         self.effects = edges.where(L.is_boundary("dst"))
-        inner = edges.where(~L.is_boundary("dst"))
-        self.internal = written(
-            inner.join(nodes.select(F.col("fqn").alias("dst")), "dst", "left_semi").select("src", "dst").distinct(), "internal")
-        self.concurrent = inner.where("concurrent") if "concurrent" in edges.columns else inner.limit(0)
+        self._inner = edges.where(~L.is_boundary("dst"))
+        self.concurrent = self._inner.where("concurrent") if "concurrent" in edges.columns else self._inner.limit(0)
         self.spots = spots
 
+    @functools.cached_property
+    def internal(self) -> DataFrame:
+        """Distinct first-party pairs, written when first asked for."""
+        return written(self._inner.join(self.nodes.select(F.col("fqn").alias("dst")), "dst", "left_semi").select("src", "dst").distinct(), "internal")
+
+    @functools.cached_property
+    def labels(self) -> DataFrame:
+        """(node, label): distinct effects of each node, written when first asked for."""
+        return written(self.effects.select(F.col("src").alias("node"), F.substring("dst", 10, 1 << 20).alias("label")).distinct(), "labels")
+
     def roots(self) -> DataFrame:
         """Nodes without a first-party caller; a self-call disqualifies."""
         return self.nodes.select("fqn").join(self.internal.select(F.col("dst").alias("fqn")), "fqn", "left_anti")
@@ -41,7 +58,7 @@ class GraphIndex:
 
     def blind(self, cone: DataFrame) -> DataFrame:
         """seed of every cone with a blinding spot (at a node or its package) or a dynamic effect."""
-        out = cone.join(self.effects.where(L.is_dynamic("dst")).select(F.col("src").alias("node")), "node", "left_semi").select("seed")
+        out = cone.join(self.labels.where(L.is_dynamic("label")).select("node"), "node", "left_semi").select("seed")
         if self.spots is not None:
             sites = self.spots.where(~F.col("kind").isin(*L.DISCLOSURE_ONLY)).select("site").distinct()
             out = out.unionByName(cone.join(sites.withColumnRenamed("site", "node"), "node", "left_semi").select("seed"))
@@ -50,21 +67,39 @@ class GraphIndex:
         return out.distinct()
 
 
+def unknown(new: DataFrame, known: DataFrame, small: bool) -> DataFrame:
+    """The pairs of new that known lacks.
+
+    After a small round the new pairs are written and, if still few, sent to what is known, which
+    is then read but not shuffled; else both sides are.
+    """
+    pair = ["seed", "node"]
+    if small:
+        new = written(new, "new")
+        if new.count() <= FEW:
+            met = known.select(*pair).join(F.broadcast(new), pair, "left_semi")
+            return new.join(met, pair, "left_anti")
+    return new.join(known.select(*pair), pair, "left_anti")
+
+
 def closure(seeds: DataFrame, edges: DataFrame, expand: Column | None = None, max_rounds: int | None = None) -> DataFrame:
     """(seed, node, depth) of at least one step; a seed is there only on a cycle.
 
+    ``seeds`` has the column seed, and node where walks of one seed start elsewhere (many nodes
+    may share a seed: what a whole set reaches is one closure, whatever its size).
     ``expand`` says which frontier nodes go on (their own row is kept either way).
     """
-    hop = edges.select(F.col("src").alias("node"), "dst").distinct()
-    frontier = seeds.select("seed", F.col("seed").alias("node")).distinct()
-    known, depth = None, 0
+    hop = edges.select(F.col("src").alias("node"), "dst")  # pairs that repeat go with the distinct below
+    frontier = seeds.select("seed", F.col("node" if "node" in seeds.columns else "seed").alias("node")).distinct()
+    known, depth, small = None, 0, False
     while max_rounds is None or depth < max_rounds:
         depth += 1
         front = frontier if expand is None or depth == 1 else frontier.where(expand)
         new = front.join(hop, "node").select("seed", F.col("dst").alias("node")).distinct()
         if known is not None:
-            new = new.join(known.select("seed", "node"), ["seed", "node"], "left_anti")
+            new = unknown(new, known, small)
         frontier = written(new.withColumn("depth", F.lit(depth)), "frontier")
+        small = frontier.count() <= FEW
         if frontier.isEmpty():
             break
         known = frontier if known is None else known.unionByName(frontier)
@@ -79,15 +114,15 @@ def guarded_closure(seeds: DataFrame, edges: DataFrame, waypoints: DataFrame) ->
 
 def shortest_paths(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(seed, node, path): the breadth-first parent chain with sorted neighbours, seeds at its head."""
-    hop = edges.select(F.col("src").alias("node"), "dst").distinct()
-    frontier = seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path"), F.array("seed").alias("rank")).distinct()
+    hop = edges.select(F.col("src").alias("node"), "dst")  # pairs that repeat go with the distinct below
+    frontier = seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")).distinct()
     known = written(frontier, "paths")
     frontier = known
     while True:
         step = frontier.join(hop, "node").select("seed", F.col("dst").alias("node"), "path")
         step = step.join(known.select("seed", "node"), ["seed", "node"], "left_anti")
         best = step.groupBy("seed", "node").agg(F.min("path").alias("path"))
-        frontier = written(best.select("seed", "node", F.concat("path", F.array("node")).alias("path"), F.array("seed").alias("rank")), "paths")
+        frontier = written(best.select("seed", "node", F.concat("path", F.array("node")).alias("path")), "paths")
         if frontier.isEmpty():
             return known.select("seed", "node", "path")
         known = known.unionByName(frontier)
