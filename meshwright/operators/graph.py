@@ -1,15 +1,16 @@
 """Graph kernel: adjacency, roots, closures (plain, guarded, absorbing), cover, blindness.
 
 Closures are semi-naive: a round joins the frontier with the edges on one key, drops pairs
-already known, and writes the new pairs; it ends with an empty frontier. Plans stay flat and
-a lost executor repeats at most one round.
+already known, and writes the new pairs; it ends with an empty frontier. A lost executor repeats at
+most one round. What is known is a union of the rounds' tables, one scan a round. Small graphs are
+walked on the driver.
 """
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.durable import written
@@ -20,6 +21,10 @@ from meshwright.functions import labels as L
 FEW = 200_000
 
 
+#: Graphs and starts up to these sizes are walked on the driver (some MB).
+SMALL_EDGES, SMALL_STARTS = 20_000, 200
+
+
 class GraphIndex:
     """nodes(fqn, ..), internal(src, dst) distinct, effects(src, dst, ..) with duplicates, spots(site, kind, ..).
 
@@ -82,20 +87,54 @@ def unknown(new: DataFrame, known: DataFrame, small: bool) -> DataFrame:
     return new.join(known.select(*pair), pair, "left_anti")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, expand: Column | None = None, max_rounds: int | None = None) -> DataFrame:
+def at_hand(edges: DataFrame, starts: DataFrame) -> tuple[dict[str, list[str]], list[tuple[str, str]]] | None:
+    """Neighbours and (seed, node) starts where both are few enough for the driver, else nothing.
+
+    A graph of a usual service (some thousand nodes) is walked in one go; the answer is the same.
+    """
+    pairs = edges.select("src", "dst").limit(SMALL_EDGES + 1).collect()
+    if len(pairs) > SMALL_EDGES:
+        return None
+    begin = starts.limit(SMALL_STARTS + 1).collect()
+    if len(begin) > SMALL_STARTS:
+        return None
+    out: dict[str, list[str]] = {}
+    for src, dst in sorted({(r[0], r[1]) for r in pairs}):
+        out.setdefault(src, []).append(dst)
+    return out, [(r[0], r[1]) for r in begin]
+
+
+def _walk(out: dict[str, list[str]], begin: list[tuple[str, str]], max_rounds: int | None) -> list[tuple[str, str, int]]:
+    """(seed, node, depth) by breadth-first search from the starts of each seed together."""
+    by: dict[str, list[str]] = {}
+    for seed, node in begin:
+        by.setdefault(seed, []).append(node)
+    rows = []
+    for seed, front in by.items():
+        seen, depth = set(), 0
+        while front and (max_rounds is None or depth < max_rounds):
+            depth += 1
+            front = sorted({d for n in front for d in out.get(n, ())} - seen)
+            seen.update(front)
+            rows += [(seed, n, depth) for n in front]
+    return rows
+
+
+def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(seed, node, depth) of at least one step; a seed is there only on a cycle.
 
     ``seeds`` has the column seed, and node where walks of one seed start elsewhere (many nodes
-    may share a seed: what a whole set reaches is one closure, whatever its size).
-    ``expand`` says which frontier nodes go on (their own row is kept either way).
-    """
+    may share a seed: what a whole set reaches is one closure, whatever its size).    """
+    starts = seeds.select("seed", F.col("node" if "node" in seeds.columns else "seed").alias("node")).distinct()
+    near = at_hand(edges, starts)
+    if near is not None:
+        return seeds.sparkSession.createDataFrame(_walk(*near, max_rounds), "seed string, node string, depth int")
     hop = edges.select(F.col("src").alias("node"), "dst")  # pairs that repeat go with the distinct below
-    frontier = seeds.select("seed", F.col("node" if "node" in seeds.columns else "seed").alias("node")).distinct()
+    frontier = starts
     known, depth, small = None, 0, False
     while max_rounds is None or depth < max_rounds:
         depth += 1
-        front = frontier if expand is None or depth == 1 else frontier.where(expand)
-        new = front.join(hop, "node").select("seed", F.col("dst").alias("node")).distinct()
+        new = frontier.join(hop, "node").select("seed", F.col("dst").alias("node")).distinct()
         if known is not None:
             new = unknown(new, known, small)
         frontier = written(new.withColumn("depth", F.lit(depth)), "frontier")
@@ -112,9 +151,29 @@ def guarded_closure(seeds: DataFrame, edges: DataFrame, waypoints: DataFrame) ->
     return closure(seeds, edges.join(waypoints.select(F.col("fqn").alias("dst")), "dst", "left_anti").select("src", "dst"))
 
 
+def _paths(out: dict[str, list[str]], begin: list[tuple[str, str]]) -> list[tuple[str, str, list[str]]]:
+    rows = []
+    for seed, _ in begin:
+        best = {seed: [seed]}
+        front = [seed]
+        while front:
+            rows += [(seed, n, best[n]) for n in front]
+            step: dict[str, list[str]] = {}
+            for n in front:
+                for d in out.get(n, ()):
+                    if d not in best and (d not in step or best[n] < step[d]):
+                        step[d] = best[n]
+            best |= {d: [*p, d] for d, p in step.items()}
+            front = sorted(step)
+    return rows
+
+
 def shortest_paths(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(seed, node, path): the breadth-first parent chain with sorted neighbours, seeds at its head."""
-    hop = edges.select(F.col("src").alias("node"), "dst")  # pairs that repeat go with the distinct below
+    near = at_hand(edges, seeds.select("seed", F.col("seed").alias("node")).distinct())
+    if near is not None:
+        return seeds.sparkSession.createDataFrame(_paths(*near), "seed string, node string, path array<string>")
+    hop = edges.select(F.col("src").alias("node"), "dst")
     frontier = seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")).distinct()
     known = written(frontier, "paths")
     frontier = known

@@ -87,3 +87,22 @@ def test_traces(spark):
     k = spark.createDataFrame([("f", 0, 1, 0, 5 * g), ("f", 0, 2, g, 2 * g), ("f", 0, 3, 9 * g, 9 * g + 1), ("f", 0, 4, 9 * g + 2, 10 * g)], "flow string, parent long, id long, start_ns long, end_ns long")
     assert {r["id"]: (r["block"], r["kind"]) for r in post_hoc_groups(k).collect()} == {1: (1, "concurrent"), 2: (1, "concurrent"), 3: (2, "unordered"), 4: (2, "unordered")}
     assert kept_by_lis([2, 0, 1, 3]) == [False, True, True, True] and kept_by_lis([]) == []
+
+
+def test_small_and_large_walks_agree(spark, monkeypatch):
+    import random
+
+    from meshwright.operators import graph as G
+
+    rnd = random.Random(3)
+    names = [f"n{k}" for k in range(40)]
+    edges = spark.createDataFrame([(rnd.choice(names), rnd.choice(names)) for _ in range(70)], "src string, dst string")
+    seeds = spark.createDataFrame([("a", "n1"), ("a", "n2"), ("b", "n3")], "seed string, node string")
+    heads = spark.createDataFrame([("n1",), ("n5",)], "seed string")
+
+    def answers():
+        return ({tuple(r) for r in G.closure(seeds, edges).collect()}, {tuple(r) for r in G.closure(heads, edges, 2).collect()}, {(r["seed"], r["node"], tuple(r["path"])) for r in G.shortest_paths(heads, edges).collect()})
+
+    small = answers()
+    monkeypatch.setattr(G, "SMALL_EDGES", -1)
+    assert answers() == small and len(small[0]) > 20
