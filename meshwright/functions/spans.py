@@ -90,8 +90,9 @@ def db_op_table(attrs) -> tuple[Column, Column]:
     return F.coalesce(op, F.nullif(said["op"], F.lit(""))), F.coalesce(table, F.nullif(said["table"], F.lit("")))
 
 
-def db_key(attrs) -> Column:
-    return words(F.lit("DB"), db_system(attrs), *db_op_table(attrs))
+def db_key(attrs, db: tuple[Column, Column] | None = None) -> Column:
+    """``db`` (here and below): operation and table where the caller has them at hand."""
+    return words(F.lit("DB"), db_system(attrs), *(db or db_op_table(attrs)))
 
 
 def db_peer(attrs) -> Column:
@@ -132,18 +133,18 @@ def is_rpc(attrs) -> Column:
     return first(attrs, "rpc.system", "rpc.system.name", "rpc.service").isNotNull()
 
 
-def operation(kind, attrs, name, short_hex: bool = False) -> Column:
+def operation(kind, attrs, name, short_hex: bool = False, db: tuple[Column, Column] | None = None) -> Column:
     """Canonical operation key of a span."""
     bus = F.concat(direction(kind, attrs), F.lit(" "), destination_name(destination(attrs), short_hex))
     bare = lambda verb: F.concat(F.lit(verb + " "), F.coalesce(destination_name(destination(attrs), short_hex), F.lit("")))
-    db, k = db_system(attrs).isNotNull(), col(kind)
+    is_db, k, db_name = db_system(attrs).isNotNull(), col(kind), db_key(attrs, db)
     peer = first(attrs, "peer.service", "server.address", "net.peer.name")
     server = F.when(is_rpc(attrs), rpc_key(attrs)).otherwise(http_key(http_method(attrs), F.lit(""), http_route(attrs)))
-    client = F.when(is_rpc(attrs), rpc_key(attrs)).when(db, db_key(attrs)).otherwise(http_key(http_method(attrs), peer, http_route(attrs)))
+    client = F.when(is_rpc(attrs), rpc_key(attrs)).when(is_db, db_name).otherwise(http_key(http_method(attrs), peer, http_route(attrs)))
     return (
         F.when(is_messaging(kind, attrs), bus).when(k == "server", server).when(k == "client", client)
         .when(k == "producer", bare("PUBLISH")).when(k == "consumer", bare("CONSUME"))
-        .when(db, db_key(attrs)).otherwise(col(name)))
+        .when(is_db, db_name).otherwise(col(name)))
 
 
 def peer_of(kind, attrs) -> Column:
@@ -176,9 +177,9 @@ def db_effect(op) -> Column:
     return F.when(F.upper(F.trim(col(op))) == "SELECT", "read").otherwise("mutate")
 
 
-def features(kind, attrs, status) -> Column:
+def features(kind, attrs, status, db: tuple[Column, Column] | None = None) -> Column:
     """struct<boundary, effect, origin, fallible> of a span."""
-    op, k = db_op_table(attrs)[0], col(kind)
+    op, k = (db or db_op_table(attrs))[0], col(kind)
     inbound, client = k.isin("server", "consumer"), k == "client"
     outside = client | op.isNotNull()
     effect = F.when(inbound, "io").when(k == "producer", "mutate").when(op.isNotNull(), db_effect(op)).when(client, "io").otherwise("compute")

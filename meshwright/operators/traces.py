@@ -15,15 +15,19 @@ ORDER_GUARD_NS = 100_000_000
 
 
 def stitch(spans: DataFrame) -> DataFrame:
-    """id, root: the head of each span's parent chain, by pointer jumping (log rounds)."""
+    """id, root: the head of each span's parent chain, by pointer jumping (log rounds).
+
+    Spans whose chain runs in a circle have no head: their root is the place where the jumps stopped.
+    """
     parent = spans.select("id", "parent")
     heads = written(parent.select("id", F.coalesce("parent", "id").alias("head")), "heads")
-    while True:
+    for _ in range(heads.count().bit_length() + 1):
         up = heads.select(F.col("id").alias("head"), F.col("head").alias("higher"))
         new = written(heads.join(up, "head", "left").select("id", F.coalesce("higher", "head").alias("root"), "head"), "heads")
         if new.where("root <> head").isEmpty():
-            return new.select("id", "root")
+            break
         heads = new.select("id", F.col("root").alias("head"))
+    return new.select("id", "root")
 
 
 def assemble_roots(spans: DataFrame) -> DataFrame:

@@ -14,32 +14,29 @@ from pyspark.sql import functions as F
 
 from meshwright.durable import written
 from meshwright.functions import spans as S
+from meshwright.operators.graph import closure
 from meshwright.operators.traces import ORDER_GUARD_NS, kept_by_lis, match_children, post_hoc_groups
 
-MAX_DEPTH = 1000
-
 
 def described(spans: DataFrame, allow: tuple[str, ...] = (), pins: dict[str, int] | None = None) -> DataFrame:
-    """spans plus op, peer, tier, rule, status and projected attributes."""
-    op = S.operation("kind", "attrs", "name")
-    kind = S.effective_kind("kind", "attrs")
-    out = spans.withColumns({"op": op, "peer": S.peer_of("kind", "attrs"), "status": S.status_of("status"), "kind": kind})
-    tier = S.classify(S.features("kind", "attrs", "status"), "op", pins)
-    return out.withColumn("c", tier).withColumns({"tier": F.col("c.tier"), "rule": F.col("c.rule"), "attrs": S.project_attrs("attrs", allow)}).drop("c")
+    """spans plus op, peer, tier, rule, status and projected attributes, written: the expressions are long."""
+    said = S.db_op_table("attrs")
+    out = spans.withColumn("__db", F.struct(said[0].alias("op"), said[1].alias("tbl")))  # the statement is read once
+    db = (F.col("__db.op"), F.col("__db.tbl"))
+    out = out.withColumn("__f", S.features("kind", "attrs", "status", db)).withColumns({
+        "op": S.operation("kind", "attrs", "name", db=db), "peer": S.peer_of("kind", "attrs"), "status": S.status_of("status"), "kind": S.effective_kind("kind", "attrs")})
+    out = out.withColumn("__c", S.classify(F.col("__f"), "op", pins))
+    return written(out.withColumns({"tier": F.col("__c.tier"), "rule": F.col("__c.rule"), "attrs": S.project_attrs("attrs", allow)}).drop("__db", "__f", "__c"), "described")
 
 
 def levels(spans: DataFrame) -> DataFrame:
     """spans plus depth (0 at a root); spans that no root reaches have none."""
-    rows = spans.select("flow", "id", "parent")
-    now = written(rows.where("parent IS NULL").select("flow", "id", F.lit(0).alias("depth")), "level")
-    known = now
-    for depth in range(1, MAX_DEPTH):
-        step = rows.join(now.select("flow", F.col("id").alias("parent")), ["flow", "parent"]).select("flow", "id", F.lit(depth).alias("depth"))
-        now = written(step, "level")
-        if now.isEmpty():
-            break
-        known = known.unionByName(now)
-    return spans.join(known, ["flow", "id"], "left")
+    key = lambda c: F.concat_ws("\u0001", "flow", F.col(c).cast("string"))
+    heads = spans.where("parent IS NULL").select("flow", "id")
+    edges = spans.where("parent IS NOT NULL").select(key("parent").alias("src"), key("id").alias("dst"))
+    below = closure(heads.select(F.lit("").alias("seed"), key("id").alias("node")), edges).select(F.col("node").alias("__key"), "depth")
+    depth = F.when(F.col("parent").isNull(), 0).otherwise(F.col("depth"))
+    return spans.withColumn("__key", key("id")).join(below, "__key", "left").withColumn("depth", depth).drop("__key")
 
 
 def unaccounted(spans: DataFrame) -> DataFrame:
@@ -50,11 +47,15 @@ def unaccounted(spans: DataFrame) -> DataFrame:
 
 
 def contract(spans: DataFrame, most_tier: int = 3) -> DataFrame:
-    """Spans of a tier up to ``most_tier`` and roots; a hidden span's children go to its nearest visible ancestor."""
+    """Spans of a tier up to ``most_tier`` and roots; a hidden span's children go to its nearest visible ancestor.
+
+    Jumps double, so their rounds are bounded by the number of spans; hidden spans in a circle stay
+    lost, as no root reaches them.
+    """
     seen = spans.withColumn("visible", (F.col("tier") <= most_tier) | F.col("parent").isNull())
     up = written(seen.select("flow", "id", "parent", "visible"), "up")
     hidden = up.where("NOT visible").select("flow", F.col("id").alias("parent"), F.col("parent").alias("higher"))
-    for _ in range(MAX_DEPTH):  # pointer jumping over hidden ancestors
+    for _ in range(up.count().bit_length() + 1):  # pointer jumping over hidden ancestors
         step = written(up.join(hidden, ["flow", "parent"], "left").select("flow", "id", F.coalesce("higher", "parent").alias("parent"), "visible", F.col("higher").isNotNull().alias("moved")), "up")
         if step.where("moved").isEmpty():
             break

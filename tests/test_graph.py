@@ -106,3 +106,9 @@ def test_small_and_large_walks_agree(spark, monkeypatch):
     small = answers()
     monkeypatch.setattr(G, "SMALL_EDGES", -1)
     assert answers() == small and len(small[0]) > 20
+
+
+def test_stitching_ends_on_circles(spark):
+    s = spark.createDataFrame([(1, None), (2, 1), (7, 8), (8, 9), (9, 7)], "id long, parent long")
+    got = {r["id"]: r["root"] for r in stitch(s).collect()}
+    assert got[1] == got[2] == 1 and {got[7], got[8], got[9]} <= {7, 8, 9}
