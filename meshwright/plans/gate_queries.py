@@ -151,8 +151,8 @@ def contract_compare(spark, sf) -> DataFrame:
 
 
 @register("many_heads", """WITH e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS flow, event_id AS id, event_type = 'signup' OR row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts, event_id) = 1 AS head FROM events)
-SELECT flow, count(*) AS n_spans, count(*) FILTER (WHERE head) AS n_heads, CASE WHEN count(*) FILTER (WHERE head) = 1 THEN min(id) FILTER (WHERE head) END AS root, count(*) FILTER (WHERE head) <> 1 AS synthesized FROM e GROUP BY flow""")
+SELECT flow, count(*) AS n_spans, count(*) FILTER (WHERE head) AS n_heads, CASE WHEN count(*) FILTER (WHERE head) = 1 THEN min(id) FILTER (WHERE head) ELSE -1 END AS root, count(*) FILTER (WHERE head) <> 1 AS synthesized FROM e GROUP BY flow""")
 def many_heads(spark, sf) -> DataFrame:
-    """Flows in which every sign-up stands alone: several heads get an invented root."""
+    """Flows in which every sign-up stands alone: several heads get an invented root, written -1."""
     s = B.spans(spark, sf)
-    return traces.assemble_roots(s.withColumn("parent", F.when(F.col("op") != "signup", F.col("parent"))))
+    return traces.assemble_roots(s.withColumn("parent", F.when(F.col("op") != "signup", F.col("parent")))).fillna({"root": -1})
